@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seagrid.llm import crosspolytope, vafile
+from seagrid.llm import crosspolytope, packing, vafile, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_approximation_topk": vafile.op1_vector_approximation_topk,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_warc_transactions": warc.op3_warc_transactions,
     "op8_cross_polytope_ann": crosspolytope.op8_cross_polytope_ann,
 }
 
 #: Only where SQL can express the query over whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op1_vector_approximation_topk": vafile.OP1_SQL,
+    "op3_warc_transactions": warc.OP3_SQL,
 }
