@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seagrid.llm import crosspolytope, packing, vafile, warc
+from seagrid.llm import crosspolytope, fst, mergereplay, packing, vafile, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_approximation_topk": vafile.op1_vector_approximation_topk,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_warc_transactions": warc.op3_warc_transactions,
+    "op6_finite_state_token_counts": fst.op6_finite_state_token_counts,
+    "op7_merge_replay_bpe": mergereplay.op7_merge_replay_bpe,
     "op8_cross_polytope_ann": crosspolytope.op8_cross_polytope_ann,
 }
 
