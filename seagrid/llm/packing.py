@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seagrid.llm.common import materialize, slices, table
+from seagrid.llm.fst import byte_alphabet
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -50,13 +51,17 @@ class WordTokenizer:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        tokenizer = self.tokenizer
+        tokenize = self.tokenizer.model.tokenize
+        stand_in = {b: c for c, b in byte_alphabet().items()}
 
         class Memory(dict):
+            """A word is a pre-token, so that the model alone can encode it; it takes bytes as printable stand-ins."""
+
             def __missing__(self, word: str) -> bytes:
                 if len(self) >= most:
                     self.clear()
-                self[word] = ids = np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+                piece = word if word.isascii() else "".join([stand_in[b] for b in word.encode()])
+                self[word] = ids = np.array([t.id for t in tokenize(piece)], "<u4").tobytes()
                 return ids
 
         self.memory = Memory()
