@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seagrid.llm import crosspolytope, fst, jaccardjoin, mergereplay, packing, vafile, warc
+from seagrid.llm import crosspolytope, fst, jaccardjoin, mergereplay, packing, suffixdedup, vafile, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_approximation_topk": vafile.op1_vector_approximation_topk,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_finite_state_token_counts": fst.op6_finite_state_token_counts,
     "op7_merge_replay_bpe": mergereplay.op7_merge_replay_bpe,
     "op8_cross_polytope_ann": crosspolytope.op8_cross_polytope_ann,
+    "op9_suffix_array_dedup": suffixdedup.op9_suffix_array_dedup,
     "op10_ngram_jaccard_join": jaccardjoin.op10_ngram_jaccard_join,
 }
 
