@@ -25,6 +25,7 @@ id with other texts are ordered by the texts' digests. Null ids come last.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,8 +98,8 @@ def _count_anchors(window: int):
     return run
 
 
-_SNIPPET = "ord long, key string, start long, stop long, anchor long, bytes binary"
-_SNIPPET_ARROW = pa.schema([("ord", pa.int64()), ("key", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("anchor", pa.int64()), ("bytes", pa.binary())])
+_SNIPPET = "ord long, key binary, start long, stop long, anchor long, bytes binary"
+_SNIPPET_ARROW = pa.schema([("ord", pa.int64()), ("key", pa.binary()), ("start", pa.int64()), ("stop", pa.int64()), ("anchor", pa.int64()), ("bytes", pa.binary())])
 
 
 def _cut_snippets(window: int, bits) -> object:
@@ -106,7 +107,7 @@ def _cut_snippets(window: int, bits) -> object:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(bits.value, np.uint8)
-        seen: dict[bytes, tuple[int, str, int]] = {}
+        seen: dict[bytes, tuple[int, bytes, int]] = {}
         for batch in slices(batches, 1000):
             ords, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for base, data, begin, length in _buffers(batch.column(2)):
@@ -146,11 +147,11 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-_STRETCH = "ord long, key string, start long, stop long"
+_STRETCH = "ord long, key binary, start long, stop long"
 _STRETCH_ARROW = pa.schema(list(_SNIPPET_ARROW)[:4])
 
 
-def covered_windows(ord_: list[int], key: list[str], start: np.ndarray, pieces: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def covered_windows(ord_: list[int], key: list[bytes], start: np.ndarray, pieces: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first window, last window) of the windows that another row, or the same one, has earlier."""
     rank_of = {d: i for i, d in enumerate(sorted(set(zip(ord_, key))))}
     rank = np.array([rank_of[d] for d in zip(ord_, key)], np.int64)
@@ -183,10 +184,31 @@ def covered_windows(ord_: list[int], key: list[str], start: np.ndarray, pieces:
 
 
 def _shard(window: int):
+    """Covered stretches of a shard's snippets.
+
+    Of equal snippets all but the earliest are covered whole. Windows of one snippet
+    differ, as they stand differently to their anchor, so an anchor that is left with
+    one snippet has no more to find; the others meet in a suffix array.
+    """
+
     def run(group: pa.Table) -> pa.Table:
-        ord_, key = group.column("ord").to_pylist(), group.column("key").to_pylist()
-        row, a, b = covered_windows(ord_, key, group.column("start").to_numpy(), group.column("bytes").to_pylist(), window)
-        return pa.Table.from_arrays([pa.array([ord_[r] for r in row], pa.int64()), pa.array([key[r] for r in row], pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_STRETCH_ARROW)
+        rows = list(zip(*(group.column(c).to_pylist() for c in ("ord", "key", "start", "anchor", "bytes"))))
+        first: dict[bytes, int] = {}
+        covered = []
+        for i, row in enumerate(rows):
+            j = first.setdefault(row[4], i)
+            if row[:3] < rows[j][:3]:
+                first[row[4]], i, j = i, j, i
+            if rows[i][:3] > rows[j][:3]:
+                covered.append((*rows[i][:3], rows[i][2] + len(row[4]) - window))
+        kinds = Counter(rows[i][3] for i in first.values())
+        left = [rows[i] for i in first.values() if kinds[rows[i][3]] > 1]
+        if left:
+            ord_, key, start, _, pieces = zip(*left)
+            for r, a, b in zip(*(x.tolist() for x in covered_windows(ord_, key, np.array(start, np.int64), pieces, window))):
+                covered.append((ord_[r], key[r], a, b))
+        columns = zip(*covered) if covered else ([], [], [], [])
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _STRETCH_ARROW)], schema=_STRETCH_ARROW)
 
     return run
 
@@ -200,7 +222,7 @@ def _split_windows(window: int):
             for o, k, s, piece in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 for at in range(len(piece) - window + 1):
                     rows.append((xxhash.xxh3_128_digest(piece[at : at + window]), o, k, s + at))
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.binary(), pa.int64(), pa.string(), pa.int64()))] if rows else [pa.array([], kind) for kind in (pa.binary(), pa.int64(), pa.string(), pa.int64())], names=["digest", "ord", "key", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.binary(), pa.int64(), pa.binary(), pa.int64()))] if rows else [pa.array([], kind) for kind in (pa.binary(), pa.int64(), pa.binary(), pa.int64())], names=["digest", "ord", "key", "start"])
 
     return run
 
@@ -242,7 +264,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id"
     """doc_id, n_bytes, n_removed, spans (removed, from start to before stop) and kept bytes of every document."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumns({"ord": F.coalesce("doc_id", F.lit(_LAST)), "key": F.sha2(F.col("text").cast("binary"), 256)})
+    rows = rows.withColumns({"ord": F.coalesce("doc_id", F.lit(_LAST)), "key": F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32))})
     copied = materialize(rows.groupBy("key").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first"), "copied")
     marked = rows.join(_small(copied), "key", "left").withColumn("copy", F.coalesce(F.col("ord") > F.col("first"), F.lit(False)))
     source = marked.filter(~F.col("copy"))
@@ -262,10 +284,10 @@ def remove_repeats(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id"
     shards = max(1, -(-total // SHARD_BYTES))
     hot = materialize(snippets.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_SNIPPETS).select("anchor"), "hot")
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
-    plain = snippets.join(_small(hot), "anchor", "left_anti").select(shard, "ord", "key", "start", "bytes")
+    plain = snippets.join(_small(hot), "anchor", "left_anti").select(shard, "ord", "key", "start", "anchor", "bytes")
     found = [pieces.filter(F.col("anchor").isNull()).select("ord", "key", "start", "stop"), plain.groupBy("shard").applyInArrow(_shard(window), _STRETCH)]
     if hot.limit(1).count():
-        windows = snippets.join(_small(hot), "anchor", "left_semi").select("ord", "key", "start", "bytes").mapInArrow(_split_windows(window), "digest binary, ord long, key string, start long")
+        windows = snippets.join(_small(hot), "anchor", "left_semi").select("ord", "key", "start", "bytes").mapInArrow(_split_windows(window), "digest binary, ord long, key binary, start long")
         windows = materialize(windows, "windows")
         earliest = windows.groupBy("digest").agg(F.min(F.struct("ord", "key", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
         found.append(windows.join(earliest, "digest").filter(F.struct("ord", "key", "start") > F.col("first")).select("ord", "key", "start", F.col("start").alias("stop")))
