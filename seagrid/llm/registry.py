@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seagrid.llm import crosspolytope, fst, jaccardjoin, knnquality, mergereplay, packing, suffixdedup, vafile, warc
+from seagrid.llm import crosspolytope, fst, jaccardjoin, knnquality, linededup, mergereplay, packing, suffixdedup, vafile, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_approximation_topk": vafile.op1_vector_approximation_topk,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_warc_transactions": warc.op3_warc_transactions,
+    "op4_line_similarity_dedup": linededup.op4_line_similarity_dedup,
     "op5_nearest_neighbour_quality": knnquality.op5_nearest_neighbour_quality,
     "op6_finite_state_token_counts": fst.op6_finite_state_token_counts,
     "op7_merge_replay_bpe": mergereplay.op7_merge_replay_bpe,
