@@ -25,8 +25,9 @@ that is already connected are not needed and not listed.
 
 Edge cases: a null text, or one without words, has the empty set and is linked with
 nothing. A text with fewer words than a shingle is one shingle. Equal texts and
-repeated rows are in one component. Null document ids keep their row; they are
-ordered after all others.
+repeated rows are in one component. Texts that share a document id are in one
+component too; of these the one with the least hashes stands for the id in
+comparisons. A row with a null id gets the component of its equal texts, or null.
 """
 
 from __future__ import annotations
@@ -292,7 +293,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, num: int = 90, den: i
     hubs = weighed.groupBy("signature").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top")).select("signature", (-F.col("top.minus")).alias("hub"))
     star = members.join(_small(hubs), "signature").filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     involved = members.select("id").distinct()
-    sets = materialize(_sets(docs.join(_small(involved.withColumnRenamed("id", id_col)), id_col, "left_semi"), words, id_col, text_col).dropDuplicates(["id"]), "sets")
+    sets = materialize(_sets(docs.join(_small(involved.withColumnRenamed("id", id_col)), id_col, "left_semi"), words, id_col, text_col).groupBy("id").agg(F.min(F.struct("full", "half")).alias("s")).select("id", "s.*"), "sets")
     links = verify_pairs(star, sets, num, den)
 
     # What is left: signatures with several components, in blocks.

@@ -144,12 +144,13 @@ def score_documents(docs: DataFrame, space: LatentSpace, *, id_col: str = "doc_i
     """The columns ``keep`` (by default the id) of every document, and its score."""
     keep = [id_col] if keep is None else keep
     sent = docs.sparkSession.sparkContext.broadcast(space)
-    source = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    text_at = keep.index(text_col) if text_col in keep else len(keep)
+    source = docs.select(*keep, *([] if text_col in keep else [F.col(text_col)]))
     schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
-            scores = sent.value.score(term_counts([(t or "").encode() for t in batch.column(len(keep)).to_pylist()]))
+            scores = sent.value.score(term_counts([(t or "").encode() for t in batch.column(text_at).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores)], names=[*keep, "score"])
 
     return source.mapInArrow(run, schema)

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seagrid.llm.common import materialize, slices, table
@@ -232,7 +232,7 @@ def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def _keep(window: int):
+def _keep(window: int, extra: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
             out: list[list] = [[], [], [], [], []]
@@ -255,15 +255,20 @@ def _keep(window: int):
                 for column, value in zip(out, (doc_id, len(raw), sum(b - a for a, b in spans), [{"start": a, "stop": b} for a, b in spans], b"".join(kept))):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, kind) for c, kind in zip(out, kinds)), *batch.columns[4:]], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", *extra])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (removed, from start to before stop) and kept bytes of every document."""
+def remove_repeats(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans (removed, from start to before stop) and kept bytes of every document.
+
+    The further columns ``keep`` are carried along.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    carried = [F.col(c).alias(f"__{i}") for i, c in enumerate(keep or ())]
+    names = [f"__{i}" for i in range(len(carried))]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carried)
     rows = rows.withColumns({"ord": F.coalesce("doc_id", F.lit(_LAST)), "key": F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32))})
     copied = materialize(rows.groupBy("key").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first"), "copied")
     marked = rows.join(_small(copied), "key", "left").withColumn("copy", F.coalesce(F.col("ord") > F.col("first"), F.lit(False)))
@@ -295,8 +300,21 @@ def remove_repeats(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id"
     for more in found[1:]:
         stretches = stretches.union(more)
     stretches = stretches.groupBy("ord", "key").agg(F.collect_list(F.struct("start", "stop")).alias("stretches"))
-    full = marked.join(stretches, ["ord", "key"], "left").select("doc_id", "text", "copy", "stretches")
-    return full.mapInArrow(_keep(window), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
+    full = marked.join(stretches, ["ord", "key"], "left").select("doc_id", "text", "copy", "stretches", *names)
+    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
+    schema += "".join(f", {n} {dict(full.dtypes)[n]}" for n in names)
+    out = full.mapInArrow(_keep(window, names), schema)
+    return out.select("doc_id", "n_bytes", "n_removed", "spans", "kept", *(F.col(n).alias(c) for n, c in zip(names, keep or ())))
+
+
+def whole_characters(kept: Column) -> Column:
+    """Kept bytes as text; characters of which only some bytes are left go too."""
+
+    @F.pandas_udf("string")
+    def decode(raw):
+        return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return decode(kept)
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
