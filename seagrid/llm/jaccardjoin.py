@@ -11,8 +11,10 @@ chance pairs. A set signs in its own band and in the next larger one.
 
 Sets that share a signature are candidates, and nothing else is compared:
 
-1. Equal sets form one class. Signatures of one class only are dropped, after an
-   aggregation that combines before its shuffle.
+1. Equal texts are signed once. Signatures are counted by an aggregation that
+   combines before its shuffle; those that occur twice go into a bit map of fixed
+   size (``FILTER_BITS``, whose false hits cost time only), and a second pass over the
+   texts keeps them. Equal sets form one class.
 2. Of the classes of a signature, the one that shares most with others is compared
    with the rest. This star finds nearly every component.
 3. In signatures that still hold several components, every pair between different
@@ -37,27 +39,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seagrid.llm.common import materialize, slices, table
 from seagrid.llm.components import components
+from seagrid.llm.wordkernel import find_words, hash_words, mix
 
 #: A block holds up to so many shingles, a class counting as 1,024 at least: at most 256 classes and 1 MB.
 BLOCK_SHINGLES = 256 * 1024
-MOST_WORDS = 1_000_000
+FILTER_BITS = 1 << 28
 #: Tables of up to so many rows of at most 64 bytes are broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
-_C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective mixer of 64-bit words."""
-    x = (x ^ (x >> np.uint64(30))) * _C[1]
-    x = (x ^ (x >> np.uint64(27))) * _C[2]
-    return x ^ (x >> np.uint64(31))
 
 
 class Shingler:
@@ -66,26 +63,32 @@ class Shingler:
     def __init__(self, words: int):
         self.words = words
 
-        class Memory(dict):
-            def __missing__(self, word: bytes) -> int:
-                if len(self) >= MOST_WORDS:
-                    self.clear()
-                self[word] = h = xxhash.xxh3_64_intdigest(word)
-                return h
-
-        self.memory = Memory()
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode().lower().split() if text else []  # both treat ASCII only
-        if not words:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.memory.__getitem__, words), np.uint64, len(words))
-        n = min(self.words, len(words))
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        raw = [(t or "").encode() for t in texts]
+        data = np.frombuffer(b"\n".join(raw), np.uint8)
+        first, last = find_words(data)
+        h = hash_words(data, first, last, fold=True)
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        cuts = np.searchsorted(first, ends).tolist()
+        k = self.words
+        with np.errstate(over="ignore"):
+            rolled = np.full(max(0, len(h) - k + 1), np.uint64(k))
+            for i in range(k):
+                rolled = mix(rolled * _GOLDEN + h[i : len(h) - k + 1 + i])
+        out, a = [], 0
+        for b in cuts:
+            out.append(np.unique(rolled[a : b - k + 1]) if b - a >= k else self._short(h[a:b]))
+            a = b
+        return out
+
+    @staticmethod
+    def _short(h: np.ndarray) -> np.ndarray:
+        """The one shingle of a text with fewer words than a shingle has."""
+        out = np.full(min(1, len(h)), np.uint64(len(h)))
         with np.errstate(over="ignore"):
-            out = np.full(len(words) - n + 1, np.uint64(n))
-            for i in range(n):
-                out = mix(out * _C[0] + h[i : len(words) - n + 1 + i])
-        return np.unique(out)
+            for x in h:
+                out = mix(out * _GOLDEN + x)
+        return out
 
 
 def most_apart(total: int, num: int, den: int) -> int:
@@ -153,7 +156,7 @@ class Signer:
                 running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weight[order])])
                 ends = np.searchsorted(segment[order], np.arange(segments + 1))
                 sums = running[ends[1:]] - running[ends[:-1]]
-                salt = mix((np.uint64(band) << np.uint64(32)) + np.arange(segments, dtype=np.uint64) * _C[0])
+                salt = mix((np.uint64(band) << np.uint64(32)) + np.arange(segments, dtype=np.uint64) * _GOLDEN)
                 out.append(mix(sums + salt))
                 if twice:
                     some = segment < twice
@@ -170,21 +173,44 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def sign_documents(docs: DataFrame, words: int, num: int, den: int, population: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, key (of the whole set; null if empty) and signatures of every document."""
+def _text_batches(batches: Iterator[pa.RecordBatch], column: int, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of some rows and megabytes."""
+    for batch in slices(batches, rows):
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        total, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (2 << 20), "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _signatures(words: int, num: int, den: int, population: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, sign = Shingler(words), Signer(num, den, population)
+        for batch in _text_batches(batches, 0):
+            found = [sign(s) for s in shingle.many(batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["signature"])
+
+    return run
+
+
+def _signed(words: int, num: int, den: int, population: int, bits):
+    """Size, key of the whole set (null if empty) and the signatures in the bit map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, sign = Shingler(words), Signer(num, den, population)
-        for batch in slices(batches, 1000):
-            sizes, keys, signatures = [], [], []
-            for text in batch.column(1):
-                s = shingle(text.as_py())
-                sizes.append(len(s))
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                signatures.append(sign(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(signatures, np.int64)], names=["doc_id", "n_shingles", "key", "signatures"])
+        bitmap = np.frombuffer(bits.value, np.uint8)
+        for batch in _text_batches(batches, 2):
+            sets = shingle.many(batch.column(2).to_pylist())
+            signatures = []
+            for s in sets:
+                x = sign(s)
+                place = x & (FILTER_BITS - 1)
+                signatures.append(x[bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1])
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists(signatures, np.int64)], names=["doc_id", "text_key", "n_shingles", "key", "signatures"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, key binary, signatures array<long>")
+    return run
 
 
 def _sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -192,8 +218,8 @@ def _sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
-        for batch in slices(batches, 500):
-            sets = [shingle(t.as_py()) for t in batch.column(1)]
+        for batch in _text_batches(batches, 1, 500):
+            sets = shingle.many(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())], names=["id", "full", "half"])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "id long, full binary, half binary")
@@ -276,15 +302,28 @@ def _cross_pairs(num: int, den: int):
 
 def jaccard_components(docs: DataFrame, *, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every document."""
-    signed = materialize(sign_documents(docs, words, num, den, max(1, docs.count()), id_col, text_col), "signed")
-    classes = signed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
-    classes = materialize(classes, "classes")
-    narrow = F.xxhash64("key")
-    rows = signed.select(F.explode("signatures").alias("signature"), narrow.alias("k"))
-    shared = rows.groupBy("signature").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo <> hi").select("signature")
-    shared = materialize(shared, "shared")
-    members = signed.select("key", F.explode("signatures").alias("signature")).join(_small(shared), "signature").distinct()
-    members = materialize(members.join(classes.select("key", "id"), "key").select("signature", "id"), "members")
+    spark = docs.sparkSession
+    rows = _texts(docs, id_col, text_col).withColumn("text_key", F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)))
+    texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    copied = materialize(texts.filter("n > 1 AND text_key IS NOT NULL").select("text_key", "first"), "copied")
+    marked = rows.join(_small(copied), "text_key", "left")
+    source = marked.filter(F.col("first").isNull() | (F.col("doc_id") == F.col("first")))
+    population = max(1, docs.count())
+    counted = source.select("text").mapInArrow(_signatures(words, num, den, population), "signature long").groupBy("signature").count().filter("count > 1")
+    place = F.col("signature").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+    chunks = counted.groupBy(F.bitmap_bucket_number(place).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    bitmap = bytearray(FILTER_BITS // 8)  # of fixed size, whatever the corpus
+    for r in chunks.toLocalIterator():
+        bitmap[(r["chunk"] - 1) * 4096 : r["chunk"] * 4096] = r["bits"]
+    bits = spark.sparkContext.broadcast(bytes(bitmap))
+    signed = source.select("doc_id", "text_key", "text").mapInArrow(_signed(words, num, den, population, bits), "doc_id long, text_key binary, n_shingles long, key binary, signatures array<long>")
+    signed = materialize(signed, "signed")
+    bits.unpersist()
+    classes = materialize(signed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("id")), "classes")
+    pairs_of = signed.select("key", F.explode("signatures").alias("signature")).join(_small(classes), "key").select("signature", "id").distinct()
+    found = materialize(pairs_of, "found")
+    shared = found.groupBy("signature").count().filter("count > 1").select("signature")
+    members = materialize(found.join(_small(shared), "signature"), "members")
 
     # The most connected class of each signature meets the others.
     counts = members.groupBy("signature").agg(F.count("*").alias("n"))
@@ -310,8 +349,10 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, num: int = 90, den: i
     linked = components(links.union(rest))
 
     owner = classes.join(linked, classes["id"] == linked["node"], "left").select("key", F.coalesce("component", "id").alias("component"))
-    joined = signed.select("doc_id", "n_shingles", "key").join(owner, "key", "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    by_text = signed.dropDuplicates(["text_key"]).select("text_key", "n_shingles", "key").join(owner, "key", "left").drop("key")
+    # A null text has no key and no shingles.
+    joined = rows.select("doc_id", "text_key").join(by_text, "text_key", "left")
+    return joined.select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def _blocked(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
