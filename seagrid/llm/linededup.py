@@ -8,21 +8,22 @@ stay.
 1. Words are counted over all lines. The counts order words by rarity: words of one
    occurrence first, then by the level of their count in a table of ``LEVEL_BUCKETS``
    hashed sums. Both tables have a fixed size; any order keeps the join exact.
-2. Equal sets form one class, which is known by its earliest line.
-3. Similar sets share a word among their rarest ones (prefix filter). Classes are
-   sorted by prefix word; a neighbour passes if sizes are near enough (length
-   filter), if what follows the shared word can still reach the overlap (positional
-   filter), and if 128-bit maps of both sets don't differ in more places than similar
-   sets can. Each class takes its earliest passing neighbour; the pairs are verified
-   on whole sets of 64-bit word hashes. Classes that are still in place and have more
-   neighbours then take all of them.
+2. Lines with equal sets form one class, which is known by its earliest line. A task
+   that saw a set earlier in the corpus doesn't send it again.
+3. Similar sets share a word among their rarest ones (prefix filter). Lines are
+   sorted by prefix word and place; a neighbour passes if sizes are near enough
+   (length filter), if what follows the shared word can still reach the overlap
+   (positional filter), and if 128-bit maps of both sets don't differ in more places
+   than similar sets can. Each line takes its earliest passing neighbour; the pairs
+   are verified on whole sets of 64-bit word hashes. Lines that are still in place
+   and have more neighbours then take all of them.
 4. Prefix words above ``HOT_COUNT`` occurrences are not gathered by word: their
-   classes stand in blocks, and blocks are compared with blocks.
+   lines stand in blocks, and blocks are compared with blocks.
 
 Edge cases: a null text stays null, an empty one empty. Repeated rows of one document
 id are one document for the order of lines; equal lines at one place are one line.
 Null ids come last. Lines end with a line feed only; what stays is joined by line
-feeds.
+feeds. Words are parted by ASCII white space.
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seagrid.llm.common import materialize, slices, table
-from seagrid.llm.jaccardjoin import mix, verify_pairs
+from seagrid.llm.jaccardjoin import verify_pairs
+from seagrid.llm.wordkernel import find_words, hash_words, mix
 
 LEVEL_BUCKETS = 1 << 18
 FILTER_BITS = 1 << 27
@@ -45,55 +48,46 @@ HOT_COUNT = 20_000
 HOT_LEVEL = int(2 * np.log2(HOT_COUNT))
 HASH_BITS = 42
 CHUNK_LINES = 1 << 15
-MOST_WORDS = 1_000_000
+MOST_SEEN = 300_000
+#: A prefix entry is one integer: word, place in the order of the line's words (capped), and whether it is frequent.
+PLACE_BITS = 10
 BLOCK_ROWS = 512
+TASK_ENTRIES = 400_000
 BROADCAST_ROWS = 300_000
 _LAST = (1 << 63) - 1
 
 
-class WordHashes:
-    """64-bit hashes of words, with a memory of them."""
-
-    def __init__(self):
-        class Memory(dict):
-            def __missing__(self, word: str) -> int:
-                if len(self) >= MOST_WORDS:
-                    self.clear()
-                self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-                return h
-
-        self.memory = Memory()
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.memory.__getitem__, words), np.uint64, len(words))
-
-
 def _narrow(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(64 - HASH_BITS)
 
 
-def split_lines(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(words, words per line, text of each line, number of the line in its text); only lines with words."""
-    words: list[str] = []
-    count, owner, number = [], [], []
-    for i, text in enumerate(texts):
-        if not text:
-            continue
-        for j, line in enumerate(text.split("\n")):
-            if some := line.split():
-                words += some
-                count.append(len(some))
-                owner.append(i)
-                number.append(j)
-    return words, np.array(count, np.int64), np.array(owner, np.int64), np.array(number, np.int64)
+def joined_texts(batches: Iterator[pa.RecordBatch], column: int, rows: int = 2000, size: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, their texts joined by line feeds, first byte of each text) in buffers of some megabytes."""
+    for batch in slices(batches, rows):
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right")))
+            part = batch.slice(at, to - at)
+            raw = [(t or "").encode() for t in part.column(column).to_pylist()]
+            begin = np.cumsum([0, *(len(r) + 1 for r in raw)])[:-1]
+            yield part, np.frombuffer(b"\n".join(raw), np.uint8), begin
+            at = to
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in slices(batches, 4000):
-        words = split_lines(batch.column(0).to_pylist())[0]
-        h, n = np.unique(_narrow(hashes(words)), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+    held: list[np.ndarray] = []
+
+    def out() -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64),) * 2
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+
+    for _, data, _ in joined_texts(batches, 0):
+        held.append(_narrow(hash_words(data, *find_words(data))))
+        if sum(map(len, held)) > 4_000_000:
+            yield out()
+    yield out()
 
 
 class Rarity:
@@ -114,20 +108,31 @@ def least_overlap(total, num: int, den: int):
 
 
 def _sign_lines(num: int, den: int, levels, repeated):
-    """One row per line: where it is, its set (two sums of word mixes), size, map and prefix."""
+    """One row per line with words: where it is, its set (two sums of word mixes), size, map and prefix entries.
+
+    Size, map and entries are left out where the task has sent the set for an earlier line.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rarity = WordHashes(), Rarity(levels.value, repeated.value)
-        for batch in slices(batches, 1500):
-            words, count, owner, number = split_lines(batch.column(1).to_pylist())
-            ords = batch.column(0).to_numpy()
-            h = _narrow(hashes(words))
+        rarity = Rarity(levels.value, repeated.value)
+        seen: dict[tuple[int, int], tuple[int, int]] = {}
+        for rows, data, begin in joined_texts(batches, 1):
+            ords = rows.column(0).to_numpy()
+            first, last = find_words(data)
+            if not len(first):
+                continue
+            h = _narrow(hash_words(data, first, last))
             level = rarity(h).astype(np.uint64)
-            edge = np.concatenate([[0], np.cumsum(count)])
-            for a in range(0, len(count), CHUNK_LINES):
-                b = min(len(count), a + CHUNK_LINES)
+            feeds = np.flatnonzero(data == 10)
+            line_of = np.searchsorted(feeds, first)  # lines of the buffer, blank ones counted
+            starts = np.flatnonzero(np.append(True, line_of[1:] != line_of[:-1]))
+            owner = np.searchsorted(begin, first[starts], "right") - 1
+            number = line_of[starts] - np.searchsorted(feeds, begin)[owner]
+            edge = np.append(starts, len(first))
+            for a in range(0, len(starts), CHUNK_LINES):
+                b = min(len(starts), a + CHUNK_LINES)
                 part = slice(edge[a], edge[b])
-                line = np.repeat(np.arange(b - a, dtype=np.uint64), count[a:b])
+                line = np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(edge[a : b + 1]))
                 packed = np.sort(line << np.uint64(HASH_BITS + 7) | level[part] << np.uint64(HASH_BITS) | h[part])
                 packed = packed[np.append(True, packed[1:] != packed[:-1])]
                 of = (packed >> np.uint64(HASH_BITS + 7)).astype(np.int64)
@@ -139,26 +144,34 @@ def _sign_lines(num: int, den: int, levels, repeated):
                 bit = np.uint64(1) << (mixed & np.uint64(63))
                 upper = (mixed & np.uint64(64)) > 0
                 with np.errstate(over="ignore"):
-                    k1, k2 = np.add.reduceat(mixed, start), np.add.reduceat(mix(mixed + np.uint64(7)), start)
+                    k1, k2 = (np.add.reduceat(v, start).view(np.int64) for v in (mixed, mix(mixed + np.uint64(7))))
                 zero = np.uint64(0)
-                b1, b2 = np.bitwise_or.reduceat(np.where(upper, bit, zero), start), np.bitwise_or.reduceat(np.where(upper, zero, bit), start)
+                b1, b2 = (np.bitwise_or.reduceat(np.where(side, bit, zero), start).view(np.int64) for side in (upper, ~upper))
                 place = np.arange(len(of)) - start[of]
-                prefix = place < (size - -(-num * size // den) + 1)[of]
-                send = prefix & (lev > 0)  # a word of one occurrence has no partner
-                n_send = np.bincount(of[send], minlength=b - a)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(n_send)]).astype(np.int32))
-                # a prefix entry: its word, and above that its place and whether it is frequent
-                entry = pa.ListArray.from_arrays(offsets, pa.array(word[send].astype(np.int64)))
-                where = pa.ListArray.from_arrays(offsets, pa.array((place[send] * 2 + (lev[send] >= HOT_LEVEL)).astype(np.int64)))
+                where = ords[owner[a:b]]
+                fresh = np.ones(b - a, bool)
+                for i, (set_, at) in enumerate(zip(zip(k1.tolist(), k2.tolist()), zip(where.tolist(), number[a:b].tolist()))):
+                    known = seen.get(set_)
+                    if known is not None and known < at:
+                        fresh[i] = False
+                    else:
+                        if len(seen) >= MOST_SEEN:
+                            seen.clear()
+                        seen[set_] = at
+                send = fresh[of] & (place < (size - -(-num * size // den) + 1)[of]) & (lev > 0)  # a word of one occurrence has no partner
+                entry = (word[send].astype(np.int64) << (PLACE_BITS + 1)) | (np.minimum(place[send], (1 << PLACE_BITS) - 1) << 1) | (lev[send] >= HOT_LEVEL)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(of[send], minlength=b - a))]).astype(np.int32)
+                entries = pa.ListArray.from_arrays(pa.array(offsets), pa.array(entry))
+                stale = ~fresh
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ords[owner[a:b]]), pa.array(number[a:b]), *(pa.array(x.view(np.int64)) for x in (k1, k2)), pa.array(size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in (b1, b2)), entry, where],
-                    names=["ord", "line", "k1", "k2", "size", "b1", "b2", "words", "places"],
+                    [pa.array(where), pa.array(number[a:b].astype(np.int64)), pa.array(k1), pa.array(k2), *(pa.array(x, mask=stale) for x in (size.astype(np.int64), b1, b2)), entries],
+                    names=["ord", "line", "k1", "k2", "size", "b1", "b2", "entries"],
                 )
 
     return run
 
 
-_LINES = "ord long, line long, k1 long, k2 long, size long, b1 long, b2 long, words array<long>, places array<long>"
+_LINES = "ord long, line long, k1 long, k2 long, size long, b1 long, b2 long, entries array<long>"
 
 
 def _passes(x: dict, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -171,59 +184,57 @@ def _passes(x: dict, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.nda
     return good & (differ <= n + m - 2 * need)
 
 
-_MEMBER = ("word", "id", "size", "place", "b1", "b2")
+_MEMBER = ("word", "ord", "line", "set", "size", "place", "b1", "b2")
+_PAIR = "a_ord long, a_line long, b_ord long, b_line long"
+
+
+def _pairs(x: dict, a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
+    return [pa.array(x[c][i]) for i in (a, b) for c in ("ord", "line")]
 
 
 def _neighbours(num: int, den: int, every: bool):
-    """Passing pairs (a earlier, b) of rows that come sorted by word and id.
+    """Passing pairs of lines (a earlier, b) that share a prefix word; a task holds whole words.
 
     With ``every``, all pairs of the rows marked ``asks``; else each row's earliest
     passing neighbour, and whether it has more.
     """
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        """Columns of whole groups of a word."""
-        names = [*_MEMBER, "asks"] if every else list(_MEMBER)
-        held: dict | None = None
-        for batch in batches:
-            x = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(names)}
-            if held is not None:
-                x = {n: np.concatenate([held[n], x[n]]) for n in names}
-            if not len(x["word"]):
-                continue
-            cut = int(np.searchsorted(x["word"], x["word"][-1]))
-            held = {n: v[cut:] for n, v in x.items()}
-            if cut:
-                yield {n: v[:cut] for n, v in x.items()}
-        if held is not None and len(held["word"]):
-            yield held
+    names = [*_MEMBER, *(["asks"] if every else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in groups(batches):
-            n = len(x["word"])
-            new = np.append(True, x["word"][1:] != x["word"][:-1])
-            inside = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
-            live = np.flatnonzero(inside > 0)
-            if every:
-                live = live[x["asks"][live]]
-            earliest, more = np.full(n, -1), np.zeros(n, bool)
-            lag, found = 1, []
-            while len(live):
-                hit = live[_passes(x, live, live - lag, num, den)]
-                if every:
-                    found.append((hit - lag, hit))
-                else:
-                    more[hit] = earliest[hit] >= 0
-                    earliest[hit] = hit - lag  # larger lags are earlier
-                lag += 1
-                live = live[inside[live] >= lag]
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table_ = pa.Table.from_batches(held)
+        x = {n: table_.column(i).to_numpy() for i, n in enumerate(names)}
+        del held, table_
+        order = np.lexsort((x["line"], x["ord"], x["word"]))
+        x = {n: v[order] for n, v in x.items()}
+        n = len(order)
+        same = np.append(False, x["word"][1:] == x["word"][:-1])
+        # A set that other tasks sent too stands next to its earliest line or behind it.
+        inside = np.arange(n) - np.maximum.accumulate(np.where(same, 0, np.arange(n)))
+        live = np.flatnonzero(inside > 0)
+        if every:
+            live = live[x["asks"][live]]
+        earliest, more = np.full(n, -1), np.zeros(n, bool)
+        lag, found = 1, []
+        while len(live):
+            hit = live[_passes(x, live, live - lag, num, den)]
+            hit = hit[x["set"][hit] != x["set"][hit - lag]]
             if every:
-                a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-                flag = np.zeros(len(a), bool)
+                found.append((hit - lag, hit))
             else:
-                b = np.flatnonzero(earliest >= 0)
-                a, flag = earliest[b], more[b]
-            yield pa.RecordBatch.from_arrays([pa.array(x["id"][a]), pa.array(x["id"][b]), pa.array(flag)], names=["a", "b", "more"])
+                more[hit] |= earliest[hit] >= 0
+                earliest[hit] = hit - lag  # larger lags are earlier
+            lag += 1
+            live = live[inside[live] >= lag]
+        if every:
+            a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            flag = np.zeros(len(a), bool)
+        else:
+            b = np.flatnonzero(earliest >= 0)
+            a, flag = earliest[b], more[b]
+        yield pa.RecordBatch.from_arrays([*_pairs(x, a, b), pa.array(flag)], names=["a_ord", "a_line", "b_ord", "b_line", "more"])
 
     return run
 
@@ -235,23 +246,24 @@ def _met_blocks(num: int, den: int):
             both = [*row["left"], *row["right"]]
             x = {n: np.array([m[n] for m in both], np.int64) for n in _MEMBER[1:]}
             i, j = (v.ravel() for v in np.meshgrid(np.arange(len(row["left"])), np.arange(len(row["left"]), len(both)), indexing="ij"))
-            keep = (x["id"][i] != x["id"][j]) & _passes(x, i, j, num, den)
-            a, b = x["id"][i[keep]], x["id"][j[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            keep = (x["set"][i] != x["set"][j]) & _passes(x, i, j, num, den)
+            i, j = i[keep], j[keep]
+            later = (x["ord"][i] > x["ord"][j]) | ((x["ord"][i] == x["ord"][j]) & (x["line"][i] > x["line"][j]))
+            yield pa.RecordBatch.from_arrays(_pairs(x, np.where(later, j, i), np.where(later, i, j)), names=["a_ord", "a_line", "b_ord", "b_line"])
 
     return run
 
 
 def _blocked(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Passing pairs of the classes of frequent words, block against block."""
+    """Passing pairs of the lines of frequent words, block against block."""
     counts = members.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1")
-    dealt = members.join(_small(counts), "word").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / (16 * BLOCK_ROWS))))
-    dealt = dealt.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("word", "part").orderBy("size", "id")) - 1) / BLOCK_ROWS))
+    dealt = members.join(_small(counts), "word").withColumn("part", F.pmod(F.xxhash64("set"), F.ceil(F.col("n") / (16 * BLOCK_ROWS))))
+    dealt = dealt.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("word", "part").orderBy("size", "set")) - 1) / BLOCK_ROWS))
     blocks = dealt.groupBy("word", "part", "block").agg(F.collect_list(F.struct(*_MEMBER[1:])).alias("rows"), F.min("size").alias("lo"), F.max("size").alias("hi"))
     blocks = materialize(blocks.withColumn("at", F.col("part") * (1 << 32) + F.col("block")), "line-blocks")
     other = blocks.select("word", F.col("at").alias("at2"), F.col("rows").alias("right"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     met = blocks.join(other, "word").filter((F.col("at") <= F.col("at2")) & (F.col("hi") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo") * num))
-    return met.select(F.col("rows").alias("left"), "right").mapInArrow(_met_blocks(num, den), "a long, b long")
+    return met.select(F.col("rows").alias("left"), "right").mapInArrow(_met_blocks(num, den), _PAIR)
 
 
 def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -261,17 +273,16 @@ def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The word sets of the asked lines of each document."""
-    hashes = WordHashes()
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
     for batch in slices(batches, 200):
-        ids, full, half = [], [], []
-        for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        out: list[tuple] = []
+        for ord_, text, asked in zip(*(batch.column(i).to_pylist() for i in range(3))):
             lines = text.split("\n")
-            for a in asked:
-                s = np.unique(hashes(lines[a["line"]].split()))
-                ids.append(a["id"])
-                full.append(s.tobytes())
-                half.append((s >> np.uint64(32)).astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(full, pa.binary()), pa.array(half, pa.binary())], names=["id", "full", "half"])
+            for number in asked:
+                if number < len(lines):
+                    s = np.unique(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in set(lines[number].encode().split())), np.uint64))
+                    out.append((ord_, number, s.tobytes(), (s >> np.uint64(32)).astype(np.uint32).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else ([],) * 4, kinds)], names=["ord", "line", "full", "half"])
 
 
 def _drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,38 +311,42 @@ def repeated_lines(docs: DataFrame, *, num: int = 80, den: int = 100, id_col: st
     sent = [spark.sparkContext.broadcast(bytes(x)) for x in (levels.tobytes(), repeated)]
 
     lines = materialize(texts.mapInArrow(_sign_lines(num, den, *sent), _LINES), "lines")
-    # All lines of a class have one size, map and prefix.
-    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("ord", "line", "size", "b1", "b2", "words", "places")).alias("x")).select("k1", "k2", "x.*")
-    # Range partitions in order make the identifiers rise with the place of the line.
-    ordered = first.repartitionByRange("ord", "line").sortWithinPartitions("ord", "line").withColumn("id", F.monotonically_increasing_id())
-    classes = materialize(ordered, "line-classes")
-    entries = classes.select("id", "size", "b1", "b2", F.explode(F.arrays_zip("words", "places")).alias("e"))
-    entries = entries.select(F.col("e.words").alias("word"), "id", "size", F.shiftright("e.places", 1).alias("place"), "b1", "b2", (F.col("e.places") % 2 == 1).alias("hot"))
+    entries = lines.filter("size IS NOT NULL").select("ord", "line", F.col("k1").alias("set"), "size", "b1", "b2", F.explode("entries").alias("e"))
+    entries = entries.withColumns({"word": F.shiftright("e", PLACE_BITS + 1), "place": F.shiftright("e", 1).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)), "hot": F.col("e").bitwiseAND(F.lit(1)) == 1})
     plain, hot = entries.filter(~F.col("hot")).select(*_MEMBER), entries.filter("hot").select(*_MEMBER)
-    by_word = lambda df: df.repartition("word").sortWithinPartitions("word", "id")
-    near = materialize(by_word(plain).mapInArrow(_neighbours(num, den, False), "a long, b long, more boolean"), "line-near")
+    # A task holds its words whole; none of them is frequent, so enough tasks make each one small.
+    total = lines.agg(F.sum(F.size("entries"))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ENTRIES))
+    near = materialize(plain.repartition(parts, "word").mapInArrow(_neighbours(num, den, False), f"{_PAIR}, more boolean"), "line-near")
     blocked = materialize(_blocked(hot, num, den), "line-hot")
-    pairs = materialize(near.select("a", "b").union(blocked).distinct(), "line-pairs")
+    ends = ["a_ord", "a_line", "b_ord", "b_line"]
+    pairs = materialize(near.select(ends).union(blocked).distinct(), "line-pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        asked = classes.select("id", "ord", "line").join(_small(wanted), "id").groupBy("ord").agg(F.collect_list(F.struct("id", "line")).alias("asked"))
-        # A repeated id has its lines in one of its rows at least; sets are told apart by their size.
-        held = texts.join(_small(materialize(asked, "line-asked"), 20_000), "ord").select("text", F.filter("asked", lambda x: x["line"] < F.size(F.split("text", "\n", -1))).alias("asked"))
-        sets = materialize(held.mapInArrow(_line_sets, "id long, full binary, half binary").dropDuplicates(["id"]), "line-sets")
-        return verify_pairs(pairs, sets, num, den)
-
-    gone = verified(pairs).select(F.col("b").alias("id")).distinct()
-    open_ = materialize(near.filter("more").select(F.col("b").alias("id")).distinct().join(gone, "id", "left_anti"), "line-open")
+        """ord and line of the later lines of the similar ones among the pairs."""
+        a, b = pairs.select(F.col("a_ord").alias("ord"), F.col("a_line").alias("line")), pairs.select(F.col("b_ord").alias("ord"), F.col("b_line").alias("line"))
+        asked = a.union(b).groupBy("ord").agg(F.collect_set("line").alias("asked"))
+        sets = texts.join(_small(materialize(asked, "line-asked"), 30_000), "ord").select("ord", "text", "asked").mapInArrow(_line_sets, "ord long, line long, full binary, half binary")
+        sets = sets.groupBy("ord", "line").agg(F.min(F.struct("full", "half")).alias("s")).select(F.xxhash64("ord", "line").alias("id"), "ord", "line", "s.*")
+        keyed = pairs.select(F.xxhash64("a_ord", "a_line").alias("a"), F.xxhash64("b_ord", "b_line").alias("b"))
+        good = verify_pairs(keyed, materialize(sets, "line-sets"), num, den).select("b").distinct()
+        return b.distinct().join(good, F.xxhash64("ord", "line") == F.col("b")).select("ord", "line")
+
+    gone = materialize(verified(pairs), "line-gone")
+    open_ = materialize(near.filter("more").select(F.col("b_ord").alias("ord"), F.col("b_line").alias("line")).distinct().join(gone, ["ord", "line"], "left_anti"), "line-open")
     if open_.limit(1).count():
-        asking = plain.join(_small(open_.withColumn("asks", F.lit(True))), "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        asking = plain.join(_small(open_.withColumn("asks", F.lit(True))), ["ord", "line"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
         theirs = asking.filter("asks").select("word").distinct()
-        again = by_word(asking.join(_small(theirs), "word", "left_semi").select(*_MEMBER, "asks")).mapInArrow(_neighbours(num, den, True), "a long, b long, more boolean")
-        rest = materialize(again.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "line-rest")
-        gone = gone.union(verified(rest).select(F.col("b").alias("id"))).distinct()
-    state = classes.select("k1", "k2", "id", F.col("ord").alias("first_ord"), F.col("line").alias("first_line")).join(gone.withColumn("gone", F.lit(True)), "id", "left")
-    placed = lines.select("ord", "line", "k1", "k2").join(state.select("k1", "k2", "first_ord", "first_line", "gone"), ["k1", "k2"])
-    drop = placed.filter(F.coalesce("gone", F.lit(False)) | (F.col("ord") != F.col("first_ord")) | (F.col("line") != F.col("first_line")))
+        again = asking.join(_small(theirs), "word", "left_semi").select(*_MEMBER, "asks").repartition(parts, "word").mapInArrow(_neighbours(num, den, True), f"{_PAIR}, more boolean")
+        rest = materialize(again.select(ends).distinct().join(pairs, ends, "left_anti"), "line-rest")
+        gone = materialize(gone.union(verified(rest)).distinct(), "line-gone")
+    # Besides, of each class only the first line stays; it was always sent and judged.
+    placed = lines.select("ord", "line", "k1", "k2")
+    many = placed.groupBy("k1", "k2").agg(F.min("ord").alias("o"), F.count("*").alias("n")).filter("n > 1").select("k1", "k2", "o")
+    marked = placed.join(_small(materialize(many, "line-classes")), ["k1", "k2"])
+    head = materialize(marked.filter(F.col("ord") == F.col("o")).groupBy("k1", "k2").agg(F.min("line").alias("l")), "line-heads")
+    again = marked.join(_small(head), ["k1", "k2"]).filter((F.col("ord") != F.col("o")) | (F.col("line") != F.col("l")))
+    drop = gone.union(again.select("ord", "line"))
     return drop.groupBy("ord").agg(F.collect_set("line").alias("lines"))
 
 
