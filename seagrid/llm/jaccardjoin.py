@@ -50,7 +50,7 @@ from seagrid.llm.wordkernel import find_words, hash_words, mix
 
 #: A block holds up to so many shingles, a class counting as 1,024 at least: at most 256 classes and 1 MB.
 BLOCK_SHINGLES = 256 * 1024
-FILTER_BITS = 1 << 28
+FILTER_BITS = 1 << 27
 #: Tables of up to so many rows of at most 64 bytes are broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -259,7 +259,9 @@ def _small(df: DataFrame) -> DataFrame:
 def verify_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The similar ones among the pairs (a, b)."""
     for column, dtype in (("half", np.uint32), ("full", np.uint64)):
-        side = lambda name: sets.select(F.col("id").alias(name), F.col(column).alias(f"set_{name}"))  # noqa: B023, E731
+        wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+        near = sets.select("id", column).join(_small(wanted), "id", "left_semi")
+        side = lambda name: near.select(F.col("id").alias(name), F.col(column).alias(f"set_{name}"))  # noqa: B023, E731
         joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
         pairs = materialize(joined.mapInArrow(_checker(num, den, dtype), "a long, b long"), f"pairs-{column}")
     return pairs
