@@ -51,6 +51,9 @@ CHUNK_LINES = 1 << 15
 MOST_SEEN = 300_000
 #: A prefix entry is one integer: word, place in the order of the line's words (capped), and whether it is frequent.
 PLACE_BITS = 10
+#: Lines of more words are compared by their wide maps.
+SHORT_LINE = 128
+WIDE_BITS = 512
 BLOCK_ROWS = 512
 TASK_ENTRIES = 400_000
 BROADCAST_ROWS = 300_000
@@ -163,15 +166,24 @@ def _sign_lines(num: int, den: int, levels, repeated):
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(of[send], minlength=b - a))]).astype(np.int32)
                 entries = pa.ListArray.from_arrays(pa.array(offsets), pa.array(entry))
                 stale = ~fresh
+                # Long lines, and those short ones that may be similar to them, have a wide map too.
+                wide_line = fresh & (size * den >= (SHORT_LINE + 1) * num)
+                wide_row = np.cumsum(wide_line) - 1
+                wide_word = wide_line[of]
+                bits = np.zeros((int(wide_line.sum()), WIDE_BITS), np.uint8)
+                bits[wide_row[of[wide_word]], (mixed[wide_word] >> np.uint64(7) & np.uint64(WIDE_BITS - 1)).astype(np.int64)] = 1
+                packed_maps = np.packbits(bits, axis=1).tobytes()
+                step = WIDE_BITS // 8
+                wide = [packed_maps[r * step : (r + 1) * step] if w else None for r, w in zip(wide_row.tolist(), wide_line.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(where), pa.array(number[a:b].astype(np.int64)), pa.array(k1), pa.array(k2), *(pa.array(x, mask=stale) for x in (size.astype(np.int64), b1, b2)), entries],
-                    names=["ord", "line", "k1", "k2", "size", "b1", "b2", "entries"],
+                    [pa.array(where), pa.array(number[a:b].astype(np.int64)), pa.array(k1), pa.array(k2), *(pa.array(x, mask=stale) for x in (size.astype(np.int64), b1, b2)), pa.array(wide, pa.binary()), entries],
+                    names=["ord", "line", "k1", "k2", "size", "b1", "b2", "wide", "entries"],
                 )
 
     return run
 
 
-_LINES = "ord long, line long, k1 long, k2 long, size long, b1 long, b2 long, entries array<long>"
+_LINES = "ord long, line long, k1 long, k2 long, size long, b1 long, b2 long, wide binary, entries array<long>"
 
 
 def _passes(x: dict, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -180,11 +192,18 @@ def _passes(x: dict, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.nda
     need = least_overlap(n + m, num, den)
     good = np.minimum(n, m) * den >= np.maximum(n, m) * num
     good &= 1 + np.minimum(n - x["place"][i], m - x["place"][j]) - 1 >= need
-    differ = sum(np.bitwise_count((x[b][i] ^ x[b][j]).view(np.uint64)).astype(np.int64) for b in ("b1", "b2"))
-    return good & (differ <= n + m - 2 * need)
+    at = np.flatnonzero(good)
+    i, j = i[at], j[at]
+    if "wide" in x:
+        differ = np.bitwise_count(x["wide"][i] ^ x["wide"][j]).sum(axis=1, dtype=np.int64)
+    else:
+        differ = sum(np.bitwise_count((x[b][i] ^ x[b][j]).view(np.uint64)).astype(np.int64) for b in ("b1", "b2"))
+    good[at] = differ <= (n + m - 2 * need)[at]
+    return good
 
 
 _MEMBER = ("word", "ord", "line", "set", "size", "place", "b1", "b2")
+_LONG = (*_MEMBER[:-2], "wide")
 _PAIR = "a_ord long, a_line long, b_ord long, b_line long"
 
 
@@ -192,20 +211,24 @@ def _pairs(x: dict, a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
     return [pa.array(x[c][i]) for i in (a, b) for c in ("ord", "line")]
 
 
-def _neighbours(num: int, den: int, every: bool):
+def _wide_maps(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE_BITS // 64)
+
+
+def _neighbours(num: int, den: int, every: bool, member: tuple[str, ...]):
     """Passing pairs of lines (a earlier, b) that share a prefix word; a task holds whole words.
 
     With ``every``, all pairs of the rows marked ``asks``; else each row's earliest
     passing neighbour, and whether it has more.
     """
-    names = [*_MEMBER, *(["asks"] if every else [])]
+    names = [*member, *(["asks"] if every else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table_ = pa.Table.from_batches(held)
-        x = {n: table_.column(i).to_numpy() for i, n in enumerate(names)}
+        x = {n: _wide_maps(table_.column(i)) if n == "wide" else table_.column(i).to_numpy() for i, n in enumerate(names)}
         del held, table_
         order = np.lexsort((x["line"], x["ord"], x["word"]))
         x = {n: v[order] for n, v in x.items()}
@@ -244,7 +267,7 @@ def _met_blocks(num: int, den: int):
         for batch in slices(batches, 1):
             row = batch.to_pylist()[0]
             both = [*row["left"], *row["right"]]
-            x = {n: np.array([m[n] for m in both], np.int64) for n in _MEMBER[1:]}
+            x = {n: np.array([m[n] for m in both], np.int64) for n in _MEMBER[1:]}  # frequent words lead short lines mostly
             i, j = (v.ravel() for v in np.meshgrid(np.arange(len(row["left"])), np.arange(len(row["left"]), len(both)), indexing="ij"))
             keep = (x["set"][i] != x["set"][j]) & _passes(x, i, j, num, den)
             i, j = i[keep], j[keep]
@@ -311,13 +334,15 @@ def repeated_lines(docs: DataFrame, *, num: int = 80, den: int = 100, id_col: st
     sent = [spark.sparkContext.broadcast(bytes(x)) for x in (levels.tobytes(), repeated)]
 
     lines = materialize(texts.mapInArrow(_sign_lines(num, den, *sent), _LINES), "lines")
-    entries = lines.filter("size IS NOT NULL").select("ord", "line", F.col("k1").alias("set"), "size", "b1", "b2", F.explode("entries").alias("e"))
+    entries = lines.filter("size IS NOT NULL").select("ord", "line", F.col("k1").alias("set"), "size", "b1", "b2", "wide", F.explode("entries").alias("e"))
     entries = entries.withColumns({"word": F.shiftright("e", PLACE_BITS + 1), "place": F.shiftright("e", 1).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)), "hot": F.col("e").bitwiseAND(F.lit(1)) == 1})
-    plain, hot = entries.filter(~F.col("hot")).select(*_MEMBER), entries.filter("hot").select(*_MEMBER)
+    hot = entries.filter("hot").select(*_MEMBER)
+    plain = {_MEMBER: entries.filter(~F.col("hot") & (F.col("size") <= SHORT_LINE)).select(*_MEMBER), _LONG: entries.filter(~F.col("hot") & F.col("wide").isNotNull()).select(*_LONG)}
     # A task holds its words whole; none of them is frequent, so enough tasks make each one small.
     total = lines.agg(F.sum(F.size("entries"))).first()[0] or 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ENTRIES))
-    near = materialize(plain.repartition(parts, "word").mapInArrow(_neighbours(num, den, False), f"{_PAIR}, more boolean"), "line-near")
+    found = [df.repartition(parts, "word").mapInArrow(_neighbours(num, den, False, member), f"{_PAIR}, more boolean") for member, df in plain.items()]
+    near = materialize(found[0].union(found[1]), "line-near")
     blocked = materialize(_blocked(hot, num, den), "line-hot")
     ends = ["a_ord", "a_line", "b_ord", "b_line"]
     pairs = materialize(near.select(ends).union(blocked).distinct(), "line-pairs")
@@ -335,9 +360,12 @@ def repeated_lines(docs: DataFrame, *, num: int = 80, den: int = 100, id_col: st
     gone = materialize(verified(pairs), "line-gone")
     open_ = materialize(near.filter("more").select(F.col("b_ord").alias("ord"), F.col("b_line").alias("line")).distinct().join(gone, ["ord", "line"], "left_anti"), "line-open")
     if open_.limit(1).count():
-        asking = plain.join(_small(open_.withColumn("asks", F.lit(True))), ["ord", "line"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-        theirs = asking.filter("asks").select("word").distinct()
-        again = asking.join(_small(theirs), "word", "left_semi").select(*_MEMBER, "asks").repartition(parts, "word").mapInArrow(_neighbours(num, den, True), f"{_PAIR}, more boolean")
+        again = []
+        for member, df in plain.items():
+            asking = df.join(_small(open_.withColumn("asks", F.lit(True))), ["ord", "line"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+            theirs = asking.filter("asks").select("word").distinct()
+            again.append(asking.join(_small(theirs), "word", "left_semi").select(*member, "asks").repartition(parts, "word").mapInArrow(_neighbours(num, den, True, member), f"{_PAIR}, more boolean"))
+        again = again[0].union(again[1])
         rest = materialize(again.select(ends).distinct().join(pairs, ends, "left_anti"), "line-rest")
         gone = materialize(gone.union(verified(rest)).distinct(), "line-gone")
     # Besides, of each class only the first line stays; it was always sent and judged.
