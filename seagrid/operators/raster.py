@@ -110,6 +110,8 @@ def raster_lines(field: Field, spec: GridSpec, *, now: datetime | None = None) -
 
 def raster_cells(field: Field, spec: GridSpec, *, now: datetime | None = None) -> DataFrame:
     """One row per raster cell: source_id, row, col, latitude, longitude, value (null if missing)."""
+    check_bounds(spec)
+    check_size(spec)
     at = sample_positions(field, spec, now or datetime.now())
     lines = raster_lines(field, spec, now=now)
     cells = lines.select("row", "latitude", F.posexplode("values").alias("col", "value"))
