@@ -53,6 +53,7 @@ MOST_SEEN = 300_000
 PLACE_BITS = 10
 #: Lines of more words are compared by their wide maps.
 SHORT_LINE = 128
+NEIGHBOURS = 4
 WIDE_BITS = 512
 BLOCK_ROWS = 512
 TASK_ENTRIES = 400_000
@@ -193,71 +194,72 @@ def _passes(x: dict, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.nda
     good = np.minimum(n, m) * den >= np.maximum(n, m) * num
     good &= 1 + np.minimum(n - x["place"][i], m - x["place"][j]) - 1 >= need
     at = np.flatnonzero(good)
-    i, j = i[at], j[at]
-    if "wide" in x:
-        differ = np.bitwise_count(x["wide"][i] ^ x["wide"][j]).sum(axis=1, dtype=np.int64)
-    else:
-        differ = sum(np.bitwise_count((x[b][i] ^ x[b][j]).view(np.uint64)).astype(np.int64) for b in ("b1", "b2"))
-    good[at] = differ <= (n + m - 2 * need)[at]
+    i, j, most = i[at], j[at], (n + m - 2 * need)[at]
+    differ = sum(np.bitwise_count((x[b][i] ^ x[b][j]).view(np.uint64)).astype(np.int64) for b in ("b1", "b2"))
+    long = np.flatnonzero((differ <= most) & (np.maximum(x["size"][i], x["size"][j]) > SHORT_LINE))
+    if len(long):
+        differ[long] = np.bitwise_count(x["maps"][x["wide"][i[long]]] ^ x["maps"][x["wide"][j[long]]]).sum(axis=1, dtype=np.int64)
+    good[at] = differ <= most
     return good
 
 
-_MEMBER = ("word", "ord", "line", "set", "size", "place", "b1", "b2")
-_LONG = (*_MEMBER[:-2], "wide")
+_MEMBER = ("word", "ord", "line", "set", "size", "place", "b1", "b2", "wide")
 _PAIR = "a_ord long, a_line long, b_ord long, b_line long"
 
 
-def _pairs(x: dict, a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
-    return [pa.array(x[c][i]) for i in (a, b) for c in ("ord", "line")]
+def _wide_maps(column: list[bytes | None]) -> dict:
+    """The wide maps as a matrix, and the row of each line in it (-1 for lines without)."""
+    have = np.array([w is not None for w in column], bool)
+    maps = np.frombuffer(b"".join(w for w in column if w is not None), np.uint64).reshape(-1, WIDE_BITS // 64)
+    return {"maps": maps, "wide": np.where(have, np.cumsum(have) - 1, -1)}
 
 
-def _wide_maps(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE_BITS // 64)
+def _pairs(x: dict, a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
+    return [pa.array(x[c][i]) for i in (a, b) for c in ("ord", "line")]
 
 
-def _neighbours(num: int, den: int, every: bool, member: tuple[str, ...]):
+def _neighbours(num: int, den: int, every: bool):
     """Passing pairs of lines (a earlier, b) that share a prefix word; a task holds whole words.
 
     With ``every``, all pairs of the rows marked ``asks``; else each row's earliest
-    passing neighbour, and whether it has more.
+    passing neighbours, and whether it has more.
     """
-    names = [*member, *(["asks"] if every else [])]
+    names = [*_MEMBER, *(["asks"] if every else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table_ = pa.Table.from_batches(held)
-        x = {n: _wide_maps(table_.column(i)) if n == "wide" else table_.column(i).to_numpy() for i, n in enumerate(names)}
+        x = {n: table_.column(i).to_numpy() for i, n in enumerate(names) if n != "wide"} | _wide_maps(table_.column(_MEMBER.index("wide")).to_pylist())
         del held, table_
         order = np.lexsort((x["line"], x["ord"], x["word"]))
-        x = {n: v[order] for n, v in x.items()}
+        x = {n: v if n == "maps" else v[order] for n, v in x.items()}
         n = len(order)
         same = np.append(False, x["word"][1:] == x["word"][:-1])
-        # A set that other tasks sent too stands next to its earliest line or behind it.
         inside = np.arange(n) - np.maximum.accumulate(np.where(same, 0, np.arange(n)))
         live = np.flatnonzero(inside > 0)
         if every:
             live = live[x["asks"][live]]
-        earliest, more = np.full(n, -1), np.zeros(n, bool)
-        lag, found = 1, []
+        lag, hits, lags = 1, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(live):
             hit = live[_passes(x, live, live - lag, num, den)]
-            hit = hit[x["set"][hit] != x["set"][hit - lag]]
-            if every:
-                found.append((hit - lag, hit))
-            else:
-                more[hit] |= earliest[hit] >= 0
-                earliest[hit] = hit - lag  # larger lags are earlier
+            hit = hit[x["set"][hit] != x["set"][hit - lag]]  # other tasks may have sent a set too
+            hits.append(hit)
+            lags.append(np.full(len(hit), lag))
             lag += 1
             live = live[inside[live] >= lag]
-        if every:
-            a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-            flag = np.zeros(len(a), bool)
-        else:
-            b = np.flatnonzero(earliest >= 0)
-            a, flag = earliest[b], more[b]
-        yield pa.RecordBatch.from_arrays([*_pairs(x, a, b), pa.array(flag)], names=["a_ord", "a_line", "b_ord", "b_line", "more"])
+        b, lag_of = np.concatenate(hits), np.concatenate(lags)
+        more = np.zeros(len(b), bool)
+        if not every:  # larger lags are earlier
+            order = np.lexsort((-lag_of, b))
+            b, lag_of = b[order], lag_of[order]
+            first = np.append(True, b[1:] != b[:-1])[: len(b)]
+            rank = np.arange(len(b)) - np.maximum.accumulate(np.where(first, np.arange(len(b)), 0)) if len(b) else b
+            more = np.bincount(b, minlength=n)[b] > NEIGHBOURS
+            keep = rank < NEIGHBOURS
+            b, lag_of, more = b[keep], lag_of[keep], more[keep]
+        yield pa.RecordBatch.from_arrays([*_pairs(x, b - lag_of, b), pa.array(more)], names=["a_ord", "a_line", "b_ord", "b_line", "more"])
 
     return run
 
@@ -267,7 +269,7 @@ def _met_blocks(num: int, den: int):
         for batch in slices(batches, 1):
             row = batch.to_pylist()[0]
             both = [*row["left"], *row["right"]]
-            x = {n: np.array([m[n] for m in both], np.int64) for n in _MEMBER[1:]}  # frequent words lead short lines mostly
+            x = {n: np.array([m[n] for m in both], np.int64) for n in _MEMBER[1:-1]} | _wide_maps([m["wide"] for m in both])
             i, j = (v.ravel() for v in np.meshgrid(np.arange(len(row["left"])), np.arange(len(row["left"]), len(both)), indexing="ij"))
             keep = (x["set"][i] != x["set"][j]) & _passes(x, i, j, num, den)
             i, j = i[keep], j[keep]
@@ -336,13 +338,11 @@ def repeated_lines(docs: DataFrame, *, num: int = 80, den: int = 100, id_col: st
     lines = materialize(texts.mapInArrow(_sign_lines(num, den, *sent), _LINES), "lines")
     entries = lines.filter("size IS NOT NULL").select("ord", "line", F.col("k1").alias("set"), "size", "b1", "b2", "wide", F.explode("entries").alias("e"))
     entries = entries.withColumns({"word": F.shiftright("e", PLACE_BITS + 1), "place": F.shiftright("e", 1).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)), "hot": F.col("e").bitwiseAND(F.lit(1)) == 1})
-    hot = entries.filter("hot").select(*_MEMBER)
-    plain = {_MEMBER: entries.filter(~F.col("hot") & (F.col("size") <= SHORT_LINE)).select(*_MEMBER), _LONG: entries.filter(~F.col("hot") & F.col("wide").isNotNull()).select(*_LONG)}
+    plain, hot = entries.filter(~F.col("hot")).select(*_MEMBER), entries.filter("hot").select(*_MEMBER)
     # A task holds its words whole; none of them is frequent, so enough tasks make each one small.
     total = lines.agg(F.sum(F.size("entries"))).first()[0] or 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ENTRIES))
-    found = [df.repartition(parts, "word").mapInArrow(_neighbours(num, den, False, member), f"{_PAIR}, more boolean") for member, df in plain.items()]
-    near = materialize(found[0].union(found[1]), "line-near")
+    near = materialize(plain.repartition(parts, "word").mapInArrow(_neighbours(num, den, False), f"{_PAIR}, more boolean"), "line-near")
     blocked = materialize(_blocked(hot, num, den), "line-hot")
     ends = ["a_ord", "a_line", "b_ord", "b_line"]
     pairs = materialize(near.select(ends).union(blocked).distinct(), "line-pairs")
@@ -360,12 +360,10 @@ def repeated_lines(docs: DataFrame, *, num: int = 80, den: int = 100, id_col: st
     gone = materialize(verified(pairs), "line-gone")
     open_ = materialize(near.filter("more").select(F.col("b_ord").alias("ord"), F.col("b_line").alias("line")).distinct().join(gone, ["ord", "line"], "left_anti"), "line-open")
     if open_.limit(1).count():
-        again = []
-        for member, df in plain.items():
-            asking = df.join(_small(open_.withColumn("asks", F.lit(True))), ["ord", "line"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-            theirs = asking.filter("asks").select("word").distinct()
-            again.append(asking.join(_small(theirs), "word", "left_semi").select(*member, "asks").repartition(parts, "word").mapInArrow(_neighbours(num, den, True, member), f"{_PAIR}, more boolean"))
-        again = again[0].union(again[1])
+        asks = _small(open_.withColumn("asks", F.lit(True)))
+        theirs = materialize(lines.join(asks, ["ord", "line"]).select(F.explode("entries").alias("e")).select(F.shiftright("e", PLACE_BITS + 1).alias("word")).distinct(), "line-words")
+        asking = plain.join(_small(theirs), "word", "left_semi").join(asks, ["ord", "line"], "left").select(*_MEMBER, F.coalesce("asks", F.lit(False)).alias("asks"))
+        again = asking.repartition(parts, "word").mapInArrow(_neighbours(num, den, True), f"{_PAIR}, more boolean")
         rest = materialize(again.select(ends).distinct().join(pairs, ends, "left_anti"), "line-rest")
         gone = materialize(gone.union(verified(rest)).distinct(), "line-gone")
     # Besides, of each class only the first line stays; it was always sent and judged.
@@ -386,7 +384,9 @@ def remove_repeated_lines(docs: DataFrame, *, num: int = 80, den: int = 100, id_
     """The columns ``keep`` (by default the id), text without repeated lines and n_removed of every document."""
     keep = [id_col] if keep is None else keep
     drop = materialize(repeated_lines(docs, num=num, den=den, id_col=id_col, text_col=text_col), "line-drop").select(F.col("ord").alias("__ord"), F.col("lines").alias("__lines"))
-    joined = docs.withColumn("__ord", _ord(id_col)).join(_small(drop, 100_000), "__ord", "left")
+    size = drop.agg(F.count("*").alias("docs"), F.sum(F.size("__lines")).alias("lines")).first()
+    few = size["docs"] <= BROADCAST_ROWS and (size["lines"] or 0) <= 10 * BROADCAST_ROWS  # some 40 MB
+    joined = docs.withColumn("__ord", _ord(id_col)).join(F.broadcast(drop) if few else drop, "__ord", "left")
     source = joined.select(F.col(text_col).cast("string").alias("__text"), "__lines", *keep)
     types = dict(docs.dtypes)
     schema = "text string, n_removed long" + "".join(f", `{c}` {types[c]}" for c in keep)
