@@ -29,22 +29,27 @@ LEAST_SCORE = 0.7
 BROADCAST_IDS = 500_000
 
 
-def _with_text(docs: DataFrame, like: DataFrame) -> DataFrame:
-    """The columns of ``like``, the number of characters made anew."""
-    if "n_chars" in docs.columns:
-        docs = docs.withColumn("n_chars", F.length("text").cast(dict(like.dtypes)["n_chars"]))
-    return docs.select(like.columns)
+def _bundled(docs: DataFrame) -> DataFrame:
+    """doc_id, text and one struct of all other columns, whose names can't meet those of an operator."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("__"), *others).alias("__rest"))
+
+
+def _spread(bundled: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``; the number of characters is that of the text."""
+    types = dict(like.dtypes)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text")}
+    return bundled.select(*((made[c] if c in made else F.col("__rest").getField(c)).cast(types[c]).alias(c) for c in like.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     space = fit(docs, table(spark, sf_dir, "labels"))
-    scored = score_documents(docs, space, keep=docs.columns)
-    return scored.filter(F.col("score") >= LEAST_SCORE).drop("score")
+    scored = score_documents(_bundled(docs), space, keep=["doc_id", "text", "__rest"])
+    return _spread(scored.filter(F.col("score") >= LEAST_SCORE), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = remove_repeated_lines(docs, keep=[c for c in docs.columns if c != "text"])
-    return _with_text(kept, docs)
+    return _spread(remove_repeated_lines(_bundled(docs), keep=["doc_id", "__rest"]), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +60,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kept = remove_repeats(docs, window=100, keep=others)
-    return _with_text(kept.withColumn("text", whole_characters(F.col("kept"))), docs)
+    kept = remove_repeats(_bundled(docs), window=100, keep=["__rest"])
+    return _spread(kept.withColumn("text", whole_characters(F.col("kept"))), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
