@@ -87,6 +87,8 @@ def _count_anchors(window: int):
             docs = batch.column(0).to_numpy()
             for base, data, begin, length in _buffers(batch.column(1)):
                 for h, first, _ in _anchors(data, begin, length, window):
+                    if not len(h):
+                        continue
                     owner = docs[base + np.searchsorted(begin, first, "right") - 1]
                     order = np.lexsort((owner, h))
                     h, owner = h[order], owner[order]
