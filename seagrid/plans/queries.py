@@ -203,8 +203,8 @@ def _sql_channel(k: int) -> str:
 )
 def color_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = grid_sample(spark, sf_dir)
-    bounds = cells.agg(R.nan_min(F.col("value")).alias("lo"), F.max("value").alias("hi"))  # one row
-    return cells.crossJoin(F.broadcast(bounds)).select("row", "col", display.value_colour(F.col("value"), F.col("lo"), F.col("hi")).alias("c")).select("row", "col", "c.r", "c.g", "c.b")
+    low, high = (cells.agg(f.alias("v")).scalar() for f in (R.nan_min(F.col("value")), F.max("value")))
+    return cells.select("row", "col", display.value_colour(F.col("value"), low, high).alias("c")).select("row", "col", "c.r", "c.g", "c.b")
 
 
 @query(f"WITH {AXES}, {PRICE}, {GRID} SELECT row, col, coalesce(rtrim(rtrim(printf('%.5f', value), '0'), '.'), 'NoData') AS text FROM grid")
