@@ -49,11 +49,11 @@ HOT_LEVEL = int(2 * np.log2(HOT_COUNT))
 HASH_BITS = 42
 CHUNK_LINES = 1 << 15
 MOST_SEEN = 300_000
-#: A prefix entry is one integer: word, place in the order of the line's words (capped), and whether it is frequent.
-PLACE_BITS = 10
+#: A prefix entry is one integer: word, and place in the order of the line's words (capped).
+PLACE_BITS = 11
 #: Lines of more words are compared by their wide maps.
 SHORT_LINE = 128
-NEIGHBOURS = 4
+NEIGHBOURS = 2
 WIDE_BITS = 512
 BLOCK_ROWS = 512
 TASK_ENTRIES = 400_000
@@ -111,6 +111,12 @@ def least_overlap(total, num: int, den: int):
     return -(-(num * total) // (num + den))
 
 
+def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    """Values in order of their owners as one list for each of n owners."""
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
 def _sign_lines(num: int, den: int, levels, repeated):
     """One row per line with words: where it is, its set (two sums of word mixes), size, map and prefix entries.
 
@@ -163,9 +169,9 @@ def _sign_lines(num: int, den: int, levels, repeated):
                             seen.clear()
                         seen[set_] = at
                 send = fresh[of] & (place < (size - -(-num * size // den) + 1)[of]) & (lev > 0)  # a word of one occurrence has no partner
-                entry = (word[send].astype(np.int64) << (PLACE_BITS + 1)) | (np.minimum(place[send], (1 << PLACE_BITS) - 1) << 1) | (lev[send] >= HOT_LEVEL)
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(of[send], minlength=b - a))]).astype(np.int32)
-                entries = pa.ListArray.from_arrays(pa.array(offsets), pa.array(entry))
+                entry = (word[send].astype(np.int64) << PLACE_BITS) | np.minimum(place[send], (1 << PLACE_BITS) - 1)
+                frequent = lev[send] >= HOT_LEVEL
+                entries = [_lists(entry[side], of[send][side], b - a) for side in (~frequent, frequent)]
                 stale = ~fresh
                 # Long lines, and those short ones that may be similar to them, have a wide map too.
                 wide_line = fresh & (size * den >= (SHORT_LINE + 1) * num)
@@ -177,14 +183,14 @@ def _sign_lines(num: int, den: int, levels, repeated):
                 step = WIDE_BITS // 8
                 wide = [packed_maps[r * step : (r + 1) * step] if w else None for r, w in zip(wide_row.tolist(), wide_line.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(where), pa.array(number[a:b].astype(np.int64)), pa.array(k1), pa.array(k2), *(pa.array(x, mask=stale) for x in (size.astype(np.int64), b1, b2)), pa.array(wide, pa.binary()), entries],
-                    names=["ord", "line", "k1", "k2", "size", "b1", "b2", "wide", "entries"],
+                    [pa.array(where), pa.array(number[a:b].astype(np.int64)), pa.array(k1), pa.array(k2), *(pa.array(x, mask=stale) for x in (size.astype(np.int64), b1, b2)), pa.array(wide, pa.binary()), *entries],
+                    names=["ord", "line", "k1", "k2", "size", "b1", "b2", "wide", "entries", "frequent"],
                 )
 
     return run
 
 
-_LINES = "ord long, line long, k1 long, k2 long, size long, b1 long, b2 long, wide binary, entries array<long>"
+_LINES = "ord long, line long, k1 long, k2 long, size long, b1 long, b2 long, wide binary, entries array<long>, frequent array<long>"
 
 
 def _passes(x: dict, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -207,10 +213,10 @@ _MEMBER = ("word", "ord", "line", "set", "size", "place", "b1", "b2", "wide")
 _PAIR = "a_ord long, a_line long, b_ord long, b_line long"
 
 
-def _wide_maps(column: list[bytes | None]) -> dict:
+def _wide_maps(column: pa.Array) -> dict:
     """The wide maps as a matrix, and the row of each line in it (-1 for lines without)."""
-    have = np.array([w is not None for w in column], bool)
-    maps = np.frombuffer(b"".join(w for w in column if w is not None), np.uint64).reshape(-1, WIDE_BITS // 64)
+    have = column.is_valid().to_numpy(zero_copy_only=False)
+    maps = np.frombuffer(b"".join(column.drop_null().to_pylist()), np.uint64).reshape(-1, WIDE_BITS // 64)
     return {"maps": maps, "wide": np.where(have, np.cumsum(have) - 1, -1)}
 
 
@@ -222,7 +228,7 @@ def _neighbours(num: int, den: int, every: bool):
     """Passing pairs of lines (a earlier, b) that share a prefix word; a task holds whole words.
 
     With ``every``, all pairs of the rows marked ``asks``; else each row's earliest
-    passing neighbours, and whether it has more.
+    passing neighbours, and the word if that has more of them.
     """
     names = [*_MEMBER, *(["asks"] if every else [])]
 
@@ -231,7 +237,7 @@ def _neighbours(num: int, den: int, every: bool):
         if not held:
             return
         table_ = pa.Table.from_batches(held)
-        x = {n: table_.column(i).to_numpy() for i, n in enumerate(names) if n != "wide"} | _wide_maps(table_.column(_MEMBER.index("wide")).to_pylist())
+        x = {n: table_.column(i).to_numpy() for i, n in enumerate(names) if n != "wide"} | _wide_maps(table_.column(_MEMBER.index("wide")).combine_chunks())
         del held, table_
         order = np.lexsort((x["line"], x["ord"], x["word"]))
         x = {n: v if n == "maps" else v[order] for n, v in x.items()}
@@ -259,7 +265,7 @@ def _neighbours(num: int, den: int, every: bool):
             more = np.bincount(b, minlength=n)[b] > NEIGHBOURS
             keep = rank < NEIGHBOURS
             b, lag_of, more = b[keep], lag_of[keep], more[keep]
-        yield pa.RecordBatch.from_arrays([*_pairs(x, b - lag_of, b), pa.array(more)], names=["a_ord", "a_line", "b_ord", "b_line", "more"])
+        yield pa.RecordBatch.from_arrays([*_pairs(x, b - lag_of, b), pa.array(x["word"][b], mask=~more)], names=["a_ord", "a_line", "b_ord", "b_line", "more"])
 
     return run
 
@@ -269,7 +275,7 @@ def _met_blocks(num: int, den: int):
         for batch in slices(batches, 1):
             row = batch.to_pylist()[0]
             both = [*row["left"], *row["right"]]
-            x = {n: np.array([m[n] for m in both], np.int64) for n in _MEMBER[1:-1]} | _wide_maps([m["wide"] for m in both])
+            x = {n: np.array([m[n] for m in both], np.int64) for n in _MEMBER[1:-1]} | _wide_maps(pa.array([m["wide"] for m in both], pa.binary()))
             i, j = (v.ravel() for v in np.meshgrid(np.arange(len(row["left"])), np.arange(len(row["left"]), len(both)), indexing="ij"))
             keep = (x["set"][i] != x["set"][j]) & _passes(x, i, j, num, den)
             i, j = i[keep], j[keep]
@@ -336,14 +342,16 @@ def repeated_lines(docs: DataFrame, *, num: int = 80, den: int = 100, id_col: st
     sent = [spark.sparkContext.broadcast(bytes(x)) for x in (levels.tobytes(), repeated)]
 
     lines = materialize(texts.mapInArrow(_sign_lines(num, den, *sent), _LINES), "lines")
-    entries = lines.filter("size IS NOT NULL").select("ord", "line", F.col("k1").alias("set"), "size", "b1", "b2", "wide", F.explode("entries").alias("e"))
-    entries = entries.withColumns({"word": F.shiftright("e", PLACE_BITS + 1), "place": F.shiftright("e", 1).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)), "hot": F.col("e").bitwiseAND(F.lit(1)) == 1})
-    plain, hot = entries.filter(~F.col("hot")).select(*_MEMBER), entries.filter("hot").select(*_MEMBER)
+    def members(column: str) -> DataFrame:
+        rows = lines.select("ord", "line", F.col("k1").alias("set"), "size", "b1", "b2", "wide", F.explode(column).alias("e"))
+        return rows.withColumns({"word": F.shiftright("e", PLACE_BITS), "place": F.col("e").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))}).select(*_MEMBER)
+
+    plain = members("entries")
     # A task holds its words whole; none of them is frequent, so enough tasks make each one small.
     total = lines.agg(F.sum(F.size("entries"))).first()[0] or 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ENTRIES))
-    near = materialize(plain.repartition(parts, "word").mapInArrow(_neighbours(num, den, False), f"{_PAIR}, more boolean"), "line-near")
-    blocked = materialize(_blocked(hot, num, den), "line-hot")
+    near = materialize(plain.repartition(parts, "word").mapInArrow(_neighbours(num, den, False), f"{_PAIR}, more long"), "line-near")
+    blocked = materialize(_blocked(materialize(members("frequent"), "line-frequent"), num, den), "line-hot")
     ends = ["a_ord", "a_line", "b_ord", "b_line"]
     pairs = materialize(near.select(ends).union(blocked).distinct(), "line-pairs")
 
@@ -358,12 +366,11 @@ def repeated_lines(docs: DataFrame, *, num: int = 80, den: int = 100, id_col: st
         return b.distinct().join(good, F.xxhash64("ord", "line") == F.col("b")).select("ord", "line")
 
     gone = materialize(verified(pairs), "line-gone")
-    open_ = materialize(near.filter("more").select(F.col("b_ord").alias("ord"), F.col("b_line").alias("line")).distinct().join(gone, ["ord", "line"], "left_anti"), "line-open")
+    open_ = materialize(near.filter("more IS NOT NULL").select(F.col("b_ord").alias("ord"), F.col("b_line").alias("line"), F.col("more").alias("word")).distinct().join(gone, ["ord", "line"], "left_anti"), "line-open")
     if open_.limit(1).count():
         asks = _small(open_.withColumn("asks", F.lit(True)))
-        theirs = materialize(lines.join(asks, ["ord", "line"]).select(F.explode("entries").alias("e")).select(F.shiftright("e", PLACE_BITS + 1).alias("word")).distinct(), "line-words")
-        asking = plain.join(_small(theirs), "word", "left_semi").join(asks, ["ord", "line"], "left").select(*_MEMBER, F.coalesce("asks", F.lit(False)).alias("asks"))
-        again = asking.repartition(parts, "word").mapInArrow(_neighbours(num, den, True), f"{_PAIR}, more boolean")
+        asking = plain.join(_small(open_.select("word").distinct()), "word", "left_semi").join(asks, ["ord", "line", "word"], "left").select(*_MEMBER, F.coalesce("asks", F.lit(False)).alias("asks"))
+        again = asking.repartition(parts, "word").mapInArrow(_neighbours(num, den, True), f"{_PAIR}, more long")
         rest = materialize(again.select(ends).distinct().join(pairs, ends, "left_anti"), "line-rest")
         gone = materialize(gone.union(verified(rest)).distinct(), "line-gone")
     # Besides, of each class only the first line stays; it was always sent and judged.
