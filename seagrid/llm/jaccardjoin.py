@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seagrid.llm.common import materialize, slices, table
+from seagrid.llm.common import materialize, scratch_scope, slices, table
 from seagrid.llm.components import components
 from seagrid.llm.wordkernel import find_words, hash_words, mix
 
@@ -302,8 +302,7 @@ def _cross_pairs(num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, *, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every document."""
+def _jaccard_components(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     rows = _texts(docs, id_col, text_col).withColumn("text_key", F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)))
     texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
@@ -357,6 +356,12 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, num: int = 90, den: i
     return joined.select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def jaccard_components(docs: DataFrame, *, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every document."""
+    with scratch_scope(docs.sparkSession):
+        return materialize(_jaccard_components(docs, words, num, den, id_col, text_col), "jaccard", keep=True)
+
+
 def _blocked(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different components within a signature, found block against block."""
     # Blocks are dealt by component, so that those of one component need no comparison.

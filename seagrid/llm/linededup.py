@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seagrid.llm.common import materialize, slices, table
+from seagrid.llm.common import materialize, scratch_scope, slices, table
 from seagrid.llm.jaccardjoin import verify_pairs
 from seagrid.llm.wordkernel import find_words, hash_words, mix
 
@@ -390,7 +390,9 @@ def _ord(id_col: str) -> Column:
 def remove_repeated_lines(docs: DataFrame, *, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (by default the id), text without repeated lines and n_removed of every document."""
     keep = [id_col] if keep is None else keep
-    drop = materialize(repeated_lines(docs, num=num, den=den, id_col=id_col, text_col=text_col), "line-drop").select(F.col("ord").alias("__ord"), F.col("lines").alias("__lines"))
+    with scratch_scope(docs.sparkSession):
+        drop = materialize(repeated_lines(docs, num=num, den=den, id_col=id_col, text_col=text_col), "line-drop", keep=True)
+    drop = drop.select(F.col("ord").alias("__ord"), F.col("lines").alias("__lines"))
     size = drop.agg(F.count("*").alias("docs"), F.sum(F.size("__lines")).alias("lines")).first()
     few = size["docs"] <= BROADCAST_ROWS and (size["lines"] or 0) <= 10 * BROADCAST_ROWS  # some 40 MB
     joined = docs.withColumn("__ord", _ord(id_col)).join(F.broadcast(drop) if few else drop, "__ord", "left")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seagrid.llm.common import materialize, slices, table
+from seagrid.llm.common import materialize, scratch_scope, slices, table
 from seagrid.llm.suffixkernel import anchors, permuted_common_prefixes, suffix_array
 
 FILTER_BITS = 1 << 27
@@ -274,7 +274,19 @@ def remove_repeats(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id"
     rows = rows.withColumns({"ord": F.coalesce("doc_id", F.lit(_LAST)), "key": F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32))})
     copied = materialize(rows.groupBy("key").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first"), "copied")
     marked = rows.join(_small(copied), "key", "left").withColumn("copy", F.coalesce(F.col("ord") > F.col("first"), F.lit(False)))
-    source = marked.filter(~F.col("copy"))
+    with scratch_scope(spark):
+        found = materialize(_stretches(marked.filter(~F.col("copy")), window), "stretches", keep=True)
+    stretches = found.groupBy("ord", "key").agg(F.collect_list(F.struct("start", "stop")).alias("stretches"))
+    full = marked.join(stretches, ["ord", "key"], "left").select("doc_id", "text", "copy", "stretches", *names)
+    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
+    schema += "".join(f", {n} {dict(full.dtypes)[n]}" for n in names)
+    out = full.mapInArrow(_keep(window, names), schema)
+    return out.select("doc_id", "n_bytes", "n_removed", "spans", "kept", *(F.col(n).alias(c) for n, c in zip(names, keep or ())))
+
+
+def _stretches(source: DataFrame, window: int) -> DataFrame:
+    """ord, key, start and stop: runs of windows that have an earlier equal one."""
+    spark = source.sparkSession
 
     counted = source.select(F.xxhash64("ord", "key").alias("doc"), "text").mapInArrow(_count_anchors(window), "anchor long, doc long, again boolean")
     repeated = counted.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max("again").alias("again")).filter("lo <> hi OR again")
@@ -301,12 +313,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id"
     stretches = found[0]
     for more in found[1:]:
         stretches = stretches.union(more)
-    stretches = stretches.groupBy("ord", "key").agg(F.collect_list(F.struct("start", "stop")).alias("stretches"))
-    full = marked.join(stretches, ["ord", "key"], "left").select("doc_id", "text", "copy", "stretches", *names)
-    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
-    schema += "".join(f", {n} {dict(full.dtypes)[n]}" for n in names)
-    out = full.mapInArrow(_keep(window, names), schema)
-    return out.select("doc_id", "n_bytes", "n_removed", "spans", "kept", *(F.col(n).alias(c) for n, c in zip(names, keep or ())))
+    return stretches
 
 
 def whole_characters(kept: Column) -> Column:
