@@ -6,8 +6,9 @@ H = floor((a + b)(den - num) / (den + num)) shingles. In each band of sizes a ha
 deals the universe of shingles into segments, and pigeonholes say that of segments
 whose levels x_i add up to H + 1 at least one differs in fewer than x_i shingles:
 level 1 asks for equal subsets, level 2 for subsets that are equal or differ by one
-deletion. ``allocate`` picks the levels of a band by the cost of signatures and of
-chance pairs. A set signs in its own band and in the next larger one.
+deletion. ``allocate`` picks the levels of a band, and spare segments that let sets
+leave out their empty ones, by the cost of signatures and of chance pairs. A set signs
+in its own band and in the next larger one.
 
 Sets that share a signature are candidates, and nothing else is compared:
 
@@ -53,6 +54,8 @@ BLOCK_SHINGLES = 256 * 1024
 FILTER_BITS = 1 << 27
 #: Tables of up to so many rows of at most 64 bytes are broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
+#: A band and its neighbour are taken to hold this share of all sets.
+BAND_SHARE = 0.1
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,25 +109,35 @@ def size_bands(num: int, den: int, most: int = 1 << 40) -> tuple[np.ndarray, np.
     return np.array(low), np.array(high)
 
 
-def allocate(low: int, high: int, num: int, den: int, population: int) -> tuple[int, int]:
-    """(segments, how many of them at level 2) of the least cost for a band.
+def allocate(low: int, high: int, num: int, den: int, population: int) -> tuple[int, int, int]:
+    """(segments, how many of them at level 2, spare ones) of the least cost for a band.
 
     The cost of a set is its signatures; that of chance pairs is the chance that two
-    unlike sets agree on a segment, which takes both to have nothing in it.
+    unlike sets agree on a segment, which takes both to have (almost) nothing in it.
+    With spare segments beyond the levels needed, a set leaves out its empty segments,
+    as long as these are no more than the spare ones: similar sets agree on more
+    segments than that, so on one that isn't empty.
     """
     need = most_apart(2 * high, num, den) + 1
     size = (low + high) / 2
+    least = max(1.0, low * num / den)
+    spare = 0
+    for _ in range(8):  # as many as nearly all sets have empty segments, the smallest sets too
+        empty = (need + spare) * math.exp(-least / (need + spare))
+        spare = math.ceil(empty + 3 * math.sqrt(empty) + 1)
+    pairs = (BAND_SHARE * population) ** 2 / 2
     best = None
-    for twice in sorted({0, need // 4, need // 2, (need + 1) // 2}):
-        segments = need - twice
+    for twice, more in [(0, 0), (0, spare), *((t, 0) for t in (need // 4, need // 2, (need + 1) // 2) if t)]:
+        segments = need - twice + more
         if segments < max(1, twice):
             continue
-        signatures = population * (segments + twice * size / segments)
-        chance = population * float(population) * ((segments - twice) * math.exp(-2 * size / segments) + twice * (1 + 2 * size / segments) * math.exp(-2 * size / segments) * (segments > 1))
+        filled = size / segments
+        signatures = BAND_SHARE * population * (segments + twice * filled)
+        chance = 0.0 if more or segments == 1 else pairs * math.exp(-2 * filled) * (segments - twice + twice * (1 + filled) ** 2)
         cost = signatures + chance
         if best is None or cost < best[0]:
-            best = cost, segments, twice
-    return best[1], best[2]
+            best = cost, segments, twice, more
+    return best[1:]
 
 
 class Signer:
@@ -133,9 +146,9 @@ class Signer:
     def __init__(self, num: int, den: int, population: int):
         self.num, self.den, self.population = num, den, population
         self.low, self.high = size_bands(num, den)
-        self.plans: dict[int, tuple[int, int]] = {}
+        self.plans: dict[int, tuple[int, int, int]] = {}
 
-    def plan(self, band: int) -> tuple[int, int]:
+    def plan(self, band: int) -> tuple[int, int, int]:
         if band not in self.plans:
             self.plans[band] = allocate(int(self.low[band]), int(self.high[band]), self.num, self.den, self.population)
         return self.plans[band]
@@ -148,7 +161,7 @@ class Signer:
         for band in (own, own + 1):
             if band > own and len(shingles) * self.den < self.low[band] * self.num:
                 continue
-            segments, twice = self.plan(band)
+            segments, twice, spare = self.plan(band)
             with np.errstate(over="ignore"):
                 weight = mix(shingles + np.uint64(band))
                 segment = ((shingles >> np.uint64(11)) % np.uint64(segments)).astype(np.int64)
@@ -157,7 +170,9 @@ class Signer:
                 ends = np.searchsorted(segment[order], np.arange(segments + 1))
                 sums = running[ends[1:]] - running[ends[:-1]]
                 salt = mix((np.uint64(band) << np.uint64(32)) + np.arange(segments, dtype=np.uint64) * _GOLDEN)
-                out.append(mix(sums + salt))
+                empty = ends[1:] == ends[:-1]
+                leave_out = empty if 0 < empty.sum() <= spare else np.zeros(segments, bool)
+                out.append(mix(sums + salt)[~leave_out])
                 if twice:
                     some = segment < twice
                     out.append(mix(sums[segment[some]] - weight[some] + salt[segment[some]]))

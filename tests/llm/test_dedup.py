@@ -109,8 +109,9 @@ def test_bands_and_levels():
             assert band[least] >= band[n] - 1
     for size in (1, 5, 10, 30, 200, 3000):
         for population in (1, 1000, 10**9):
-            segments, twice = allocate(size, size, 90, 100, population)
-            assert segments + twice >= most_apart(2 * size, 90, 100) + 1 and 0 <= twice <= segments
+            for num in (90, 80):
+                segments, twice, spare = allocate(size, size, num, 100, population)
+                assert segments - spare + twice == most_apart(2 * size, num, 100) + 1 and 0 <= twice <= segments and not (twice and spare)
 
 
 # Operator 9
