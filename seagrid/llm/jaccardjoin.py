@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from seagrid.llm.common import materialize, scratch_scope, slices, table
 from seagrid.llm.components import components
-from seagrid.llm.wordkernel import find_words, hash_words, mix
+from seagrid.llm.wordkernel import distinct, find_words, hash_words, mix
 
 #: A block holds up to so many shingles, a class counting as 1,024 at least: at most 256 classes and 1 MB.
 BLOCK_SHINGLES = 256 * 1024
@@ -80,7 +80,7 @@ class Shingler:
                 rolled = mix(rolled * _GOLDEN + h[i : len(h) - k + 1 + i])
         out, a = [], 0
         for b in cuts:
-            out.append(np.unique(rolled[a : b - k + 1]) if b - a >= k else self._short(h[a:b]))
+            out.append(distinct(rolled[a : b - k + 1]) if b - a >= k else self._short(h[a:b]))
             a = b
         return out
 
@@ -176,7 +176,7 @@ class Signer:
                 if twice:
                     some = segment < twice
                     out.append(mix(sums[segment[some]] - weight[some] + salt[segment[some]]))
-        return np.unique(np.concatenate(out)).view(np.int64)
+        return distinct(np.concatenate(out)).view(np.int64)
 
 
 def _lists(arrays: list[np.ndarray], dtype) -> pa.Array:
@@ -290,7 +290,7 @@ def _cross_pairs(num: int, den: int):
             row = batch.to_pylist()[0]
             left, right = row["left"], row["right"]
             sides = [[np.frombuffer(m["half"], np.uint32) for m in side] for side in (left, right)]
-            values = np.unique(np.concatenate([v for side in sides for v in side]))
+            values = distinct(np.concatenate([v for side in sides for v in side]))
             found: list[tuple[int, int]] = []
             sizes = [np.array([len(v) for v in side], np.int64) for side in sides]
             total = np.zeros((len(left), len(right)), np.int64)

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from seagrid.llm.common import materialize, scratch_scope, slices, table
 from seagrid.llm.jaccardjoin import verify_pairs
-from seagrid.llm.wordkernel import find_words, hash_words, mix
+from seagrid.llm.wordkernel import distinct, find_words, hash_words, mix
 
 LEVEL_BUCKETS = 1 << 18
 FILTER_BITS = 1 << 27
@@ -48,7 +48,7 @@ HOT_COUNT = 20_000
 HOT_LEVEL = int(2 * np.log2(HOT_COUNT))
 HASH_BITS = 42
 CHUNK_LINES = 1 << 15
-MOST_SEEN = 300_000
+MOST_SEEN = 120_000
 #: A prefix entry is one integer: word, and place in the order of the line's words (capped).
 PLACE_BITS = 11
 #: Lines of more words are compared by their wide maps.
@@ -56,7 +56,7 @@ SHORT_LINE = 128
 NEIGHBOURS = 2
 WIDE_BITS = 512
 BLOCK_ROWS = 512
-TASK_ENTRIES = 400_000
+TASK_ENTRIES = 250_000
 BROADCAST_ROWS = 300_000
 _LAST = (1 << 63) - 1
 
@@ -83,8 +83,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
 
     def out() -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64),) * 2
+        h = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
         held.clear()
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+        h, n = h[at], np.diff(np.append(at, len(h)))
         return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     for _, data, _ in joined_texts(batches, 0):
@@ -239,10 +241,15 @@ def _neighbours(num: int, den: int, every: bool):
         table_ = pa.Table.from_batches(held)
         x = {n: table_.column(i).to_numpy() for i, n in enumerate(names) if n != "wide"} | _wide_maps(table_.column(_MEMBER.index("wide")).combine_chunks())
         del held, table_
+        order = np.argsort(x["word"])
+        word = x["word"][order]
+        same = word[1:] == word[:-1]
+        order = order[np.append(False, same) | np.append(same, False)]  # alone, a line has no neighbour
+        x = {n: v if n == "maps" else v[order] for n, v in x.items()}
         order = np.lexsort((x["line"], x["ord"], x["word"]))
         x = {n: v if n == "maps" else v[order] for n, v in x.items()}
         n = len(order)
-        same = np.append(False, x["word"][1:] == x["word"][:-1])
+        same = np.append(False, x["word"][1:] == x["word"][:-1])[:n]
         inside = np.arange(n) - np.maximum.accumulate(np.where(same, 0, np.arange(n)))
         live = np.flatnonzero(inside > 0)
         if every:
@@ -270,6 +277,26 @@ def _neighbours(num: int, den: int, every: bool):
     return run
 
 
+_ENTRIES = "ord long, line long, set long, size long, b1 long, b2 long, wide binary, word long, place long"
+
+
+def _entries_of(words):
+    """The prefix entries of some words only (a sorted array, broadcast)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(7)
+            entry = lists.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            word = entry >> PLACE_BITS
+            at = np.minimum(np.searchsorted(words.value, word), len(words.value) - 1)
+            hit = np.flatnonzero(words.value[at] == word)
+            rows = pa.array(owner[hit])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(7)), pa.array(word[hit]), pa.array(entry[hit] & ((1 << PLACE_BITS) - 1))], names=["ord", "line", "set", "size", "b1", "b2", "wide", "word", "place"])
+
+    return run
+
+
 def _met_blocks(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -311,7 +338,7 @@ def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = text.split("\n")
             for number in asked:
                 if number < len(lines):
-                    s = np.unique(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in set(lines[number].encode().split())), np.uint64))
+                    s = distinct(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in set(lines[number].encode().split())), np.uint64))
                     out.append((ord_, number, s.tobytes(), (s >> np.uint64(32)).astype(np.uint32).tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else ([],) * 4, kinds)], names=["ord", "line", "full", "half"])
 
@@ -369,7 +396,13 @@ def repeated_lines(docs: DataFrame, *, num: int = 80, den: int = 100, id_col: st
     open_ = materialize(near.filter("more IS NOT NULL").select(F.col("b_ord").alias("ord"), F.col("b_line").alias("line"), F.col("more").alias("word")).distinct().join(gone, ["ord", "line"], "left_anti"), "line-open")
     if open_.limit(1).count():
         asks = _small(open_.withColumn("asks", F.lit(True)))
-        asking = plain.join(_small(open_.select("word").distinct()), "word", "left_semi").join(asks, ["ord", "line", "word"], "left").select(*_MEMBER, F.coalesce("asks", F.lit(False)).alias("asks"))
+        theirs = open_.select("word").distinct()
+        if theirs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            wanted = spark.sparkContext.broadcast(np.sort(theirs.toArrow().column("word").to_numpy()))
+            held = lines.filter(F.size("entries") > 0).select("ord", "line", F.col("k1").alias("set"), "size", "b1", "b2", "wide", "entries").mapInArrow(_entries_of(wanted), _ENTRIES)
+        else:
+            held = plain.join(theirs, "word", "left_semi")
+        asking = held.join(asks, ["ord", "line", "word"], "left").select(*_MEMBER, F.coalesce("asks", F.lit(False)).alias("asks"))
         again = asking.repartition(parts, "word").mapInArrow(_neighbours(num, den, True), f"{_PAIR}, more long")
         rest = materialize(again.select(ends).distinct().join(pairs, ends, "left_anti"), "line-rest")
         gone = materialize(gone.union(verified(rest)).distinct(), "line-gone")

@@ -28,6 +28,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting integers beats a hash table here."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, np.uint64)
     have, step = 1, np.uint64(base)
