@@ -334,7 +334,7 @@ def _jaccard_components(docs: DataFrame, words: int, num: int, den: int, id_col:
     bits = spark.sparkContext.broadcast(bytes(bitmap))
     signed = source.select("doc_id", "text_key", "text").mapInArrow(_signed(words, num, den, population, bits), "doc_id long, text_key binary, n_shingles long, key binary, signatures array<long>")
     signed = materialize(signed, "signed")
-    bits.unpersist()
+    bits.destroy()
     classes = materialize(signed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("id")), "classes")
     pairs_of = signed.select("key", F.explode("signatures").alias("signature")).join(_small(classes), "key").select("signature", "id").distinct()
     found = materialize(pairs_of, "found")

@@ -91,7 +91,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for _, data, _ in joined_texts(batches, 0):
         held.append(_narrow(hash_words(data, *find_words(data))))
-        if sum(map(len, held)) > 4_000_000:
+        if sum(map(len, held)) > 2_000_000:
             yield out()
     yield out()
 
@@ -369,6 +369,8 @@ def repeated_lines(docs: DataFrame, *, num: int = 80, den: int = 100, id_col: st
     sent = [spark.sparkContext.broadcast(bytes(x)) for x in (levels.tobytes(), repeated)]
 
     lines = materialize(texts.mapInArrow(_sign_lines(num, den, *sent), _LINES), "lines")
+    for x in sent:
+        x.destroy()
     def members(column: str) -> DataFrame:
         rows = lines.select("ord", "line", F.col("k1").alias("set"), "size", "b1", "b2", "wide", F.explode(column).alias("e"))
         return rows.withColumns({"word": F.shiftright("e", PLACE_BITS), "place": F.col("e").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))}).select(*_MEMBER)

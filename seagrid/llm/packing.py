@@ -44,7 +44,7 @@ class WordTokenizer:
     PLAIN = re.compile("[\t\n\r\x20-\x7e¡-±´-¸º»¿-įı-ɏ]*")
     WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

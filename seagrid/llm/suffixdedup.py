@@ -42,7 +42,7 @@ SHARD_BYTES = 3 << 20
 HOT_SNIPPETS = 40_000
 BUFFER_BYTES = 2 << 20
 BROADCAST_ROWS = 100_000
-MOST_SEEN = 200_000
+MOST_SEEN = 120_000
 _LAST = (1 << 63) - 1
 
 
@@ -298,6 +298,7 @@ def _stretches(source: DataFrame, window: int) -> DataFrame:
     bits = spark.sparkContext.broadcast(bytes(bitmap))
 
     pieces = materialize(source.select("ord", "key", "text").mapInArrow(_cut_snippets(window, bits), _SNIPPET), "snippets")
+    bits.destroy()
     snippets = pieces.filter(F.col("anchor").isNotNull())
     total = snippets.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
