@@ -42,6 +42,7 @@ SHARD_BYTES = 3 << 20
 HOT_SNIPPETS = 40_000
 BUFFER_BYTES = 2 << 20
 BROADCAST_ROWS = 100_000
+BROADCAST_DOCS = 300_000
 MOST_SEEN = 120_000
 _LAST = (1 << 63) - 1
 
@@ -275,9 +276,11 @@ def remove_repeats(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id"
     copied = materialize(rows.groupBy("key").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first"), "copied")
     marked = rows.join(_small(copied), "key", "left").withColumn("copy", F.coalesce(F.col("ord") > F.col("first"), F.lit(False)))
     with scratch_scope(spark):
-        found = materialize(_stretches(marked.filter(~F.col("copy")), window), "stretches", keep=True)
-    stretches = found.groupBy("ord", "key").agg(F.collect_list(F.struct("start", "stop")).alias("stretches"))
-    full = marked.join(stretches, ["ord", "key"], "left").select("doc_id", "text", "copy", "stretches", *names)
+        found = _stretches(marked.filter(~F.col("copy")), window).groupBy("ord", "key").agg(F.collect_list(F.struct("start", "stop")).alias("stretches"))
+        found = materialize(found, "stretches", keep=True)
+    size = found.agg(F.count("*").alias("docs"), F.sum(F.size("stretches")).alias("all")).first()
+    few = size["docs"] <= BROADCAST_DOCS and (size["all"] or 0) <= 5 * BROADCAST_DOCS  # some 60 MB
+    full = marked.join(F.broadcast(found) if few else found, ["ord", "key"], "left").select("doc_id", "text", "copy", "stretches", *names)
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
     schema += "".join(f", {n} {dict(full.dtypes)[n]}" for n in names)
     out = full.mapInArrow(_keep(window, names), schema)
