@@ -79,6 +79,16 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch, as texts are long: a batch stands in the JVM and in Python at once.
+
+    Holds for the session from now on, as results are computed later; a smaller setting stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def release_memory() -> None:
     """Give freed memory back to the system; workers are used again and share an executor's limit."""
     pa.default_memory_pool().release_unused()

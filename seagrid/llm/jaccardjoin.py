@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seagrid.llm.common import materialize, scratch_scope, slices, table
+from seagrid.llm.common import materialize, scratch_scope, short_batches, slices, table
 from seagrid.llm.components import components
 from seagrid.llm.wordkernel import distinct, find_words, hash_words, mix
 
@@ -373,6 +373,7 @@ def _jaccard_components(docs: DataFrame, words: int, num: int, den: int, id_col:
 
 def jaccard_components(docs: DataFrame, *, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every document."""
+    short_batches(docs.sparkSession)
     with scratch_scope(docs.sparkSession):
         return materialize(_jaccard_components(docs, words, num, den, id_col, text_col), "jaccard", keep=True)
 

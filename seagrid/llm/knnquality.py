@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seagrid.llm.common import slices, table
+from seagrid.llm.common import short_batches, slices, table
 
 BUCKETS = 4096
 RANK = 96
@@ -142,6 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def score_documents(docs: DataFrame, space: LatentSpace, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (by default the id) of every document, and its score."""
+    short_batches(docs.sparkSession)
     keep = [id_col] if keep is None else keep
     sent = docs.sparkSession.sparkContext.broadcast(space)
     text_at = keep.index(text_col) if text_col in keep else len(keep)

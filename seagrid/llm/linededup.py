@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seagrid.llm.common import materialize, scratch_scope, slices, table
+from seagrid.llm.common import materialize, scratch_scope, short_batches, slices, table
 from seagrid.llm.jaccardjoin import verify_pairs
 from seagrid.llm.wordkernel import distinct, find_words, hash_words, mix
 
@@ -424,6 +424,7 @@ def _ord(id_col: str) -> Column:
 
 def remove_repeated_lines(docs: DataFrame, *, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (by default the id), text without repeated lines and n_removed of every document."""
+    short_batches(docs.sparkSession)
     keep = [id_col] if keep is None else keep
     with scratch_scope(docs.sparkSession):
         drop = materialize(repeated_lines(docs, num=num, den=den, id_col=id_col, text_col=text_col), "line-drop", keep=True)

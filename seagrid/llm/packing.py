@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seagrid.llm.common import materialize, slices, table
+from seagrid.llm.common import materialize, short_batches, slices, table
 from seagrid.llm.fst import byte_alphabet
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
@@ -81,11 +81,13 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of every document with their ids (little-endian unsigned 32-bit)."""
+    short_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
     step = capacity * 4
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_tokenizer(tokenizer).encode
+        words = word_tokenizer(tokenizer)
+        encode = words.encode
         for batch in slices(batches, 500):
             doc_ids, pieces, ids = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -99,6 +101,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, en
                 [pa.array(doc_ids, pa.int64()), pa.array(piece), pa.array(piece.astype(np.int64) * capacity), pa.array(np.array([len(x) // 4 for x in ids], np.int64)), pa.array(ids, pa.binary())],
                 names=["doc_id", "piece", "start", "length", "ids"],
             )
+        words.memory.clear()  # the worker may go on with other operators
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECE_SCHEMA)
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seagrid.llm.common import materialize, scratch_scope, slices, table
+from seagrid.llm.common import materialize, scratch_scope, short_batches, slices, table
 from seagrid.llm.suffixkernel import anchors, permuted_common_prefixes, suffix_array
 
 FILTER_BITS = 1 << 27
@@ -269,6 +269,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id"
     The further columns ``keep`` are carried along.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     carried = [F.col(c).alias(f"__{i}") for i, c in enumerate(keep or ())]
     names = [f"__{i}" for i in range(len(carried))]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carried)
