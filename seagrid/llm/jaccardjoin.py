@@ -194,7 +194,7 @@ def _text_batches(batches: Iterator[pa.RecordBatch], column: int, rows: int = 10
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         total, at = np.cumsum(size), 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (2 << 20), "right")))
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), "right")))
             yield batch.slice(at, to - at)
             at = to
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seagrid.llm.common import materialize, scratch_scope, short_batches, slices, table
+from seagrid.llm.common import materialize, release_memory, scratch_scope, short_batches, slices, table
 from seagrid.llm.jaccardjoin import verify_pairs
 from seagrid.llm.wordkernel import distinct, find_words, hash_words, mix
 
@@ -65,7 +65,7 @@ def _narrow(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(64 - HASH_BITS)
 
 
-def joined_texts(batches: Iterator[pa.RecordBatch], column: int, rows: int = 2000, size: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def joined_texts(batches: Iterator[pa.RecordBatch], column: int, rows: int = 2000, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their texts joined by line feeds, first byte of each text) in buffers of some megabytes."""
     for batch in slices(batches, rows):
         total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
@@ -235,6 +235,7 @@ def _neighbours(num: int, den: int, every: bool):
     names = [*_MEMBER, *(["asks"] if every else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()  # of what this worker did before
         held = [b for b in batches if b.num_rows]
         if not held:
             return

@@ -18,7 +18,7 @@ _IS_SPACE[[9, 10, 11, 12, 13, 32]] = 1
 _BASE = 0x9E3779B97F4A7C15
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 #: Texts are hashed in parts of about so many bytes, cut between words.
-PART = 1 << 21
+PART = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
