@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from seagrid.llm.crosspolytope import hadamard, nearest_neighbours, op8_cross_polytope_ann, rotate
+from seagrid.llm.crosspolytope import buckets, hadamard, nearest_neighbours, op8_cross_polytope_ann, rotate
 from seagrid.llm.vafile import OP1_SQL, build_va_file, op1_vector_approximation_topk, search_va_file
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -70,6 +70,14 @@ def nearest(rows, k, of):
     return out
 
 
+def recall(found, rows, of):
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = nearest(rows, 10, of)
+    return sum(len(got.get(q, set()) & {i for _, i in x}) for q, x in want.items()) / (10 * len(want))
+
+
 def test_recall_and_exact_scores(spark):
     sf = "/root/testdata/sf0.1"
     rows = [(r.vec_id, list(map(float, r.embedding))) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
@@ -88,6 +96,28 @@ def test_recall_and_exact_scores(spark):
     assert hit >= 0.9 * 10 * len(want)
 
 
+@pytest.mark.parametrize("more", [{"hashes": 2}, {"bucket_rows": 10}])
+def test_recall_beyond_one_hash(spark, more):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in vectors.collect()]
+    assert recall(nearest_neighbours(vectors, vectors.filter("vec_id % 100 = 0"), k=10, **more), rows, lambda i: i % 100 == 0) >= 0.9
+
+
+def test_recall_of_long_vectors(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(3).normal(0, 1, (600, 300)).astype(np.float32))]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    assert recall(nearest_neighbours(df, df.filter("vec_id < 20")), rows, lambda i: i < 20) >= 0.9
+
+
+def test_buckets_by_joint_score():
+    unit = rotate(np.random.default_rng(5).normal(0, 1, (4, 8)), 99)
+    sums = sum(np.concatenate([x, -x], axis=1)[:, axis] for x, axis in zip((rotate(unit, 3 * 64), rotate(unit, 3 * 64 + 1)), np.divmod(np.arange(256), 16)))
+    for n in (1, 7, 100, 256):
+        got = buckets(unit, 3, 2, n) - 3 * 256
+        assert all(len(set(row)) == n for row in got.tolist())
+        assert np.allclose(np.take_along_axis(sums, got, 1), -np.sort(-sums, axis=1)[:, :n])
+
+
 def test_ann_edge_cases(spark):
     rows = [(i, [1.0, 0.0, 0.0]) for i in range(30)] + [(100, [1.0, 0.1, 0.0]), (101, [0.0, 0.0, 0.0]), (102, None), (103, [None, 1.0, 1.0]), (104, [math.nan, 1.0, 1.0]), (105, []), (106, [5.0, 6.0]), (0, [1.0, 0.0, 0.0])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA).repartition(3)
