@@ -87,16 +87,17 @@ def _count_anchors(window: int):
         for batch in slices(batches, 2000):
             docs = batch.column(0).to_numpy()
             for base, data, begin, length in _buffers(batch.column(1)):
-                for h, first, _ in _anchors(data, begin, length, window):
-                    if not len(h):
-                        continue
-                    owner = docs[base + np.searchsorted(begin, first, "right") - 1]
-                    order = np.lexsort((owner, h))
-                    h, owner = h[order], owner[order]
-                    new = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))
-                    at = np.flatnonzero(new)
-                    again = np.diff(np.append(at, len(h))) > 1
-                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(owner[at]), pa.array(again)], names=["anchor", "doc", "again"])
+                # Parts of one text are counted together, as an anchor may occur once in each of them.
+                h, first, _ = (np.concatenate(x) for x in zip(*_anchors(data, begin, length, window)))
+                if not len(h):
+                    continue
+                owner = docs[base + np.searchsorted(begin, first, "right") - 1]
+                order = np.lexsort((owner, h))
+                h, owner = h[order], owner[order]
+                new = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))
+                at = np.flatnonzero(new)
+                again = np.diff(np.append(at, len(h))) > 1
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(owner[at]), pa.array(again)], names=["anchor", "doc", "again"])
 
     return run
 

@@ -174,6 +174,14 @@ def test_repeats(spark, passages, monkeypatch, change):
     assert repeats(frame(spark, passages, parts=5)) == brute_repeats(passages)
 
 
+def test_repeat_in_two_parts_of_one_text(spark):
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    text = letters[np.random.default_rng(11).integers(0, 26, suffixdedup._PART + 100_000)].tobytes().decode()
+    far = text + "[" + text[:300] + "]"
+    (got,) = remove_repeats(frame(spark, [(1, far)], parts=1)).collect()
+    assert [(x.start, x.stop) for x in got.spans] == [(len(far) - 301, len(far) - 1)] and bytes(got.kept).decode() == text + "[]"
+
+
 def test_op9(spark, documents):
     want = brute_repeats([tuple(x) for x in documents.select("doc_id", "text").collect()])
     for x in op9_suffix_array_dedup(spark, "/root/testdata/sf0.001").collect():
