@@ -16,9 +16,10 @@ whose transitions carry the change in the number of tokens. Two parts are compos
 
 A batch of texts is cut into equal chunks which run side by side. A boundary sends
 every state to the start, so a chunk's state map is: its bytes before the first
-boundary as a function of the entry state, then one known exit. The entry states
-follow from composing these maps over the chunks (a prefix scan, in which only a
-pre-token longer than a chunk takes more than one round).
+boundary as a function of the entry state, then one known exit. Only the
+part of the map that is needed is computed: the head of each chunk is replayed from
+the exit of the chunk before. A pre-token longer than a chunk is passed on chunk by
+chunk, one round each; there is no prefix scan in logarithmic rounds.
 
 Strings of special tokens count as one token each and split the text, as the
 library does by default. A null or empty text has no bytes and no tokens. Repeated
