@@ -236,21 +236,75 @@ def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _merge_stretches(window: int):
+    """Each document's stretches of windows as spans of bytes that neither overlap nor touch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1000):
+            lists = batch.column(2)
+            doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            start, stop = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            order = np.lexsort((start, doc))
+            doc, start, stop = doc[order], start[order], stop[order] + window
+            # The furthest end so far within each document, by places that grow from document to document.
+            step = int(stop.max(initial=0)) + 1
+            reach = np.maximum.accumulate(stop + doc * step)
+            fresh = np.append(True, start[1:] + doc[1:] * step > reach[:-1])[: len(doc)] | np.append(True, doc[1:] != doc[:-1])[: len(doc)]
+            at = np.flatnonzero(fresh)
+            ends = reach[np.append(at[1:], len(doc)) - 1] - doc[at] * step if len(at) else at
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[at], minlength=batch.num_rows))]).astype(np.int32)
+            spans = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(start[at]), pa.array(ends)], names=["start", "stop"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), spans], names=["ord", "key", "stretches"])
+
+    return run
+
+
+def _in_bitmap(column: int, bits, hits: bool):
+    """The rows whose 64-bit hash is in the bit map, or those whose isn't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            place = batch.column(column).to_numpy() & (FILTER_BITS - 1)
+            found = (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1) == int(hits)
+            yield batch.filter(pa.array(found))
+
+    return run
+
+
+def _bitmap(hashes: DataFrame, column: str) -> bytes:
+    """The bit map of fixed size, whatever the corpus, with the hashes of a column."""
+    place = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+    chunks = hashes.groupBy(F.bitmap_bucket_number(place).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    bitmap = bytearray(FILTER_BITS // 8)
+    for r in chunks.toLocalIterator():
+        bitmap[(r["chunk"] - 1) * 4096 : r["chunk"] * 4096] = r["bits"]
+    return bytes(bitmap)
+
+
+def _with_stretches(marked: DataFrame, found: DataFrame) -> DataFrame:
+    """``marked`` with the spans of its documents, null for those without any.
+
+    Few spans are broadcast. Else only documents that have spans are shuffled: a bit
+    map of their hashes parts them from the rest (a false hit is shuffled in vain).
+    """
+    size = found.agg(F.count("*").alias("docs"), F.sum(F.size("stretches")).alias("all")).first()
+    if size["docs"] <= BROADCAST_DOCS and (size["all"] or 0) <= 5 * BROADCAST_DOCS:  # some 60 MB
+        return marked.join(F.broadcast(found), ["ord", "key"], "left")
+    bits = marked.sparkSession.sparkContext.broadcast(_bitmap(found.select(F.xxhash64("ord", "key").alias("h")), "h"))
+    keyed = marked.select(F.xxhash64("ord", "key").alias("__h"), *marked.columns)
+    there, rest = (keyed.mapInArrow(_in_bitmap(0, bits, hits), keyed.schema).drop("__h") for hits in (True, False))
+    return there.join(found, ["ord", "key"], "left").select(*marked.columns, "stretches").union(rest.withColumn("stretches", F.lit(None).cast(found.schema["stretches"].dataType)))
+
+
 def _keep(window: int, extra: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
             out: list[list] = [[], [], [], [], []]
             for doc_id, text, copy, stretches in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 raw = (text or "").encode()
-                spans: list[list[int]] = []
-                if copy and len(raw) >= window:
-                    spans = [[0, len(raw)]]
-                else:
-                    for x in sorted(stretches or (), key=lambda x: x["start"]):
-                        if spans and x["start"] <= spans[-1][1]:
-                            spans[-1][1] = max(spans[-1][1], x["stop"] + window)
-                        else:
-                            spans.append([x["start"], x["stop"] + window])
+                spans = [[0, len(raw)]] if copy and len(raw) >= window else [[x["start"], x["stop"]] for x in stretches or ()]
                 at, kept = 0, []
                 for a, b in spans:
                     kept.append(raw[at:a])
@@ -279,10 +333,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id"
     marked = rows.join(_small(copied), "key", "left").withColumn("copy", F.coalesce(F.col("ord") > F.col("first"), F.lit(False)))
     with scratch_scope(spark):
         found = _stretches(marked.filter(~F.col("copy")), window).groupBy("ord", "key").agg(F.collect_list(F.struct("start", "stop")).alias("stretches"))
-        found = materialize(found, "stretches", keep=True)
-    size = found.agg(F.count("*").alias("docs"), F.sum(F.size("stretches")).alias("all")).first()
-    few = size["docs"] <= BROADCAST_DOCS and (size["all"] or 0) <= 5 * BROADCAST_DOCS  # some 60 MB
-    full = marked.join(F.broadcast(found) if few else found, ["ord", "key"], "left").select("doc_id", "text", "copy", "stretches", *names)
+        found = materialize(found.mapInArrow(_merge_stretches(window), found.schema), "stretches", keep=True)
+    full = _with_stretches(marked, found).select("doc_id", "text", "copy", "stretches", *names)
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
     schema += "".join(f", {n} {dict(full.dtypes)[n]}" for n in names)
     out = full.mapInArrow(_keep(window, names), schema)
@@ -295,12 +347,7 @@ def _stretches(source: DataFrame, window: int) -> DataFrame:
 
     counted = source.select(F.xxhash64("ord", "key").alias("doc"), "text").mapInArrow(_count_anchors(window), "anchor long, doc long, again boolean")
     repeated = counted.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max("again").alias("again")).filter("lo <> hi OR again")
-    place = F.col("anchor").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
-    chunks = repeated.groupBy(F.bitmap_bucket_number(place).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    bitmap = bytearray(FILTER_BITS // 8)  # of fixed size, whatever the corpus
-    for r in chunks.toLocalIterator():
-        bitmap[(r["chunk"] - 1) * 4096 : r["chunk"] * 4096] = r["bits"]
-    bits = spark.sparkContext.broadcast(bytes(bitmap))
+    bits = spark.sparkContext.broadcast(_bitmap(repeated, "anchor"))
 
     pieces = materialize(source.select("ord", "key", "text").mapInArrow(_cut_snippets(window, bits), _SNIPPET), "snippets")
     bits.destroy()

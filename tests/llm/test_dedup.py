@@ -167,7 +167,7 @@ def repeats(df, **more):
     return {x.doc_id: (x.n_bytes, x.n_removed, len(x.spans), bytes(x.kept)) for x in remove_repeats(df, **more).collect()}
 
 
-@pytest.mark.parametrize("change", [{}, {"HOT_SNIPPETS": 20}, {"_PART": 1 << 10, "BUFFER_BYTES": 1 << 9}, {"SHARD_BYTES": 2000, "MOST_SEEN": 3}, {"FILTER_BITS": 1 << 15}])
+@pytest.mark.parametrize("change", [{}, {"HOT_SNIPPETS": 20}, {"_PART": 1 << 10, "BUFFER_BYTES": 1 << 9}, {"SHARD_BYTES": 2000, "MOST_SEEN": 3}, {"FILTER_BITS": 1 << 15}, {"BROADCAST_DOCS": 3, "BROADCAST_ROWS": 2}])
 def test_repeats(spark, passages, monkeypatch, change):
     for name, value in change.items():
         monkeypatch.setattr(suffixdedup, name, value)
