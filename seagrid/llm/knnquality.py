@@ -72,15 +72,18 @@ def term_counts(texts: list[bytes]) -> np.ndarray:
 
 
 class LatentSpace:
-    """Trigram weights and singular directions of a sample, with its vectors and labels."""
+    """Trigram weights and singular directions of a sample, with its vectors and labels.
+
+    The counts are used up, so that a sample's matrix stands in memory once.
+    """
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray):
         self.prior = float(labels.mean()) if len(labels) else 1.0
         self.labels = labels.astype(np.float32)
-        held = (counts > 0).sum(axis=0)
+        held = np.count_nonzero(counts, axis=0)
         self.weight = np.where(held > 0, np.log((1 + len(counts)) / (1 + held)) + 0.1, 0).astype(np.float32)
         self.weight[BUCKETS] *= REPEAT_WEIGHT
-        damped = self.damp(counts)
+        damped = self.damp(counts, own=True)
         rank = min(RANK, *damped.shape)
         # Leading directions by subspace iteration from a fixed start.
         basis = np.random.default_rng(11).standard_normal((TERMS, min(rank + 16, TERMS))).astype(np.float32)
@@ -90,9 +93,12 @@ class LatentSpace:
         self.directions = np.ascontiguousarray((basis @ turn.T)[:, :rank])
         self.vectors = self.unit(damped @ self.directions)
 
-    def damp(self, counts: np.ndarray) -> np.ndarray:
-        out = np.log1p(counts) * self.weight
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    def damp(self, counts: np.ndarray, own: bool = False) -> np.ndarray:
+        """Damped, weighted rows of length 1; with ``own``, in the place of the counts."""
+        out = np.log1p(counts, out=counts if own else None)
+        out *= self.weight
+        out /= np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out)), 1e-12)[:, None]
+        return out
 
     @staticmethod
     def unit(x: np.ndarray) -> np.ndarray:
