@@ -74,6 +74,16 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             delete_path(spark, path)
 
 
+def bitmap_of(hashes: DataFrame, column: str, bits: int) -> bytes:
+    """A bit map of ``bits`` places (a power of two), whatever the corpus, with a column's integers."""
+    place = F.col(column).bitwiseAND(F.lit(bits - 1)) + 1
+    chunks = hashes.groupBy(F.bitmap_bucket_number(place).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    bitmap = bytearray(max(1 << 12, bits // 8))
+    for r in chunks.toLocalIterator():
+        bitmap[(r["chunk"] - 1) * 4096 : r["chunk"] * 4096] = r["bits"]
+    return bytes(bitmap)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seagrid.llm.common import materialize, scratch_scope, short_batches, slices, table
+from seagrid.llm.common import bitmap_of, materialize, scratch_scope, short_batches, slices, table
 from seagrid.llm.suffixkernel import anchors, permuted_common_prefixes, suffix_array
 
 FILTER_BITS = 1 << 27
@@ -273,16 +273,6 @@ def _in_bitmap(column: int, bits, hits: bool):
     return run
 
 
-def _bitmap(hashes: DataFrame, column: str) -> bytes:
-    """The bit map of fixed size, whatever the corpus, with the hashes of a column."""
-    place = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
-    chunks = hashes.groupBy(F.bitmap_bucket_number(place).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    bitmap = bytearray(FILTER_BITS // 8)
-    for r in chunks.toLocalIterator():
-        bitmap[(r["chunk"] - 1) * 4096 : r["chunk"] * 4096] = r["bits"]
-    return bytes(bitmap)
-
-
 def _with_stretches(marked: DataFrame, found: DataFrame) -> DataFrame:
     """``marked`` with the spans of its documents, null for those without any.
 
@@ -292,7 +282,7 @@ def _with_stretches(marked: DataFrame, found: DataFrame) -> DataFrame:
     size = found.agg(F.count("*").alias("docs"), F.sum(F.size("stretches")).alias("all")).first()
     if size["docs"] <= BROADCAST_DOCS and (size["all"] or 0) <= 5 * BROADCAST_DOCS:  # some 60 MB
         return marked.join(F.broadcast(found), ["ord", "key"], "left")
-    bits = marked.sparkSession.sparkContext.broadcast(_bitmap(found.select(F.xxhash64("ord", "key").alias("h")), "h"))
+    bits = marked.sparkSession.sparkContext.broadcast(bitmap_of(found.select(F.xxhash64("ord", "key").alias("h")), "h", FILTER_BITS))
     keyed = marked.select(F.xxhash64("ord", "key").alias("__h"), *marked.columns)
     there, rest = (keyed.mapInArrow(_in_bitmap(0, bits, hits), keyed.schema).drop("__h") for hits in (True, False))
     return there.join(found, ["ord", "key"], "left").select(*marked.columns, "stretches").union(rest.withColumn("stretches", F.lit(None).cast(found.schema["stretches"].dataType)))
@@ -347,7 +337,7 @@ def _stretches(source: DataFrame, window: int) -> DataFrame:
 
     counted = source.select(F.xxhash64("ord", "key").alias("doc"), "text").mapInArrow(_count_anchors(window), "anchor long, doc long, again boolean")
     repeated = counted.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max("again").alias("again")).filter("lo <> hi OR again")
-    bits = spark.sparkContext.broadcast(_bitmap(repeated, "anchor"))
+    bits = spark.sparkContext.broadcast(bitmap_of(repeated, "anchor", FILTER_BITS))
 
     pieces = materialize(source.select("ord", "key", "text").mapInArrow(_cut_snippets(window, bits), _SNIPPET), "snippets")
     bits.destroy()
