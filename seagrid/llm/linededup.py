@@ -55,10 +55,13 @@ CHUNK_LINES = 1 << 15
 MOST_SEEN = 120_000
 #: A prefix entry is one integer: word, and place in the order of the line's words (capped).
 PLACE_BITS = 11
-#: Lines of more words are compared by their wide maps.
-SHORT_LINE = 160
+#: Lines of up to so many words are compared by maps of 64 bits, up to ``SHORT_LINE`` by 128, longer ones by wide maps.
+FOLDED_LINE = 64
+SHORT_LINE = 180
 NEIGHBOURS = 2
-WIDE_BITS = 512
+WIDE_BITS = 256
+#: Parts of entries at least: then hardly two entries of a line meet in a part, at any size.
+LEAST_PARTS = 64
 BLOCK_ROWS = 512
 TASK_ENTRIES = 250_000
 #: Pairs looked at together.
@@ -240,7 +243,10 @@ def _passes(x: dict, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.nda
     good &= np.minimum(n - x["place"][i], m - x["place"][j]) >= need
     at = np.flatnonzero(good)
     i, j, most = i[at], j[at], (n + m - 2 * need)[at]
-    differ = sum(np.bitwise_count((x[b][i] ^ x[b][j]).view(np.uint64)).astype(np.int64) for b in ("b1", "b2"))
+    a1, a2, z1, z2 = (x[b][k].view(np.uint64) for k in (i, j) for b in ("b1", "b2"))
+    folded = np.minimum(x["size"][i], x["size"][j]) <= FOLDED_LINE
+    one = np.where(folded, (a1 | a2) ^ (z1 | z2), a1 ^ z1)
+    differ = np.bitwise_count(one).astype(np.int64) + np.where(folded, 0, np.bitwise_count(a2 ^ z2))
     long = np.flatnonzero((differ <= most) & (np.maximum(x["size"][i], x["size"][j]) > SHORT_LINE))
     if len(long):
         differ[long] = np.bitwise_count(x["maps"][x["wide"][i[long]]] ^ x["maps"][x["wide"][j[long]]]).sum(axis=1, dtype=np.int64)
@@ -265,9 +271,9 @@ _PACKED = ("entry", "ord", "line", "size", "set", "b1", "b2")
 def _pack(column: np.ndarray) -> bytes:
     """Integers as their least one and what is above it, in as few bytes each as that takes."""
     least, most = int(column.min()), int(column.max())
-    kind = next((k for k in (np.uint8, np.uint16, np.uint32) if most - least <= np.iinfo(k).max), None)
-    if kind is None:
+    if most - least > np.iinfo(np.uint32).max:  # nulls beside ids, maps
         return b"\0" * 8 + b"\x08" + column.tobytes()
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32) if most - least <= np.iinfo(k).max)
     return least.to_bytes(8, "little", signed=True) + bytes([kind(0).itemsize]) + (column - least).astype(kind).tobytes()
 
 
@@ -287,14 +293,18 @@ def _deal(parts: int, words, asking: bool):
             row = np.cumsum(has) - 1
             held.clear()
             part = ((x["entry"] >> PLACE_BITS) % parts).astype(np.int32)
-            order = np.argsort(part, kind="stable")
+            short = x["size"] <= FOLDED_LINE
+            x["b1"] = np.where(short, x["b1"] | x["b2"], x["b1"])
+            x["b2"] = np.where(short, 0, x["b2"])
+            order = np.lexsort((short, part))  # stable
             part = part[order]
             cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
             blobs: list[list] = [[] for _ in range(len(_PACKED) + 3)]
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 at = order[a:b]
                 for column, name in zip(blobs, _PACKED):
-                    column.append(_pack(x[name][at]))
+                    values = x[name][at]
+                    column.append(_pack(np.diff(values, prepend=0) if name == "ord" else values))  # ids mostly grow by little
                 blobs[-3].append(np.packbits(has[at]).tobytes())
                 blobs[-2].append(maps[row[at[has[at]]]].tobytes())
                 blobs[-1].append(np.packbits(x["asks"][at]).tobytes() if asking else None)
@@ -341,7 +351,7 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 def _part_columns(blobs: list[dict]) -> dict[str, np.ndarray]:
     """The entries of one part under words that several lines have, sorted by word and size."""
-    x = {n: np.concatenate([_unpack(b[n]) for b in blobs]) for n in _PACKED}
+    x = {n: np.concatenate([np.cumsum(_unpack(b[n])) if n == "ord" else _unpack(b[n]) for b in blobs]) for n in _PACKED}
     has, asks = (np.concatenate([np.unpackbits(np.frombuffer(b[n], np.uint8), count=b["n"]) if b[n] is not None else np.zeros(b["n"], np.uint8) for b in blobs]).astype(bool) for n in ("has", "asks"))
     x |= {"asks": asks, "wide": np.where(has, np.cumsum(has) - 1, -1), "word": x["entry"] >> PLACE_BITS, "place": x.pop("entry") & ((1 << PLACE_BITS) - 1)}
     order = np.argsort(x["word"])
@@ -561,7 +571,7 @@ def _repeated_lines(placed: DataFrame, text_col: str, num: int, den: int) -> Dat
 
     # A part holds its words whole; none of them is frequent, so enough parts make each one small.
     total = lines.agg(F.sum(F.size("entries"))).first()[0] or 0
-    parts = max(1, tasks, -(-total // TASK_ENTRIES))
+    parts = max(LEAST_PARTS, tasks, -(-total // TASK_ENTRIES))
 
     def neighbours(rows: DataFrame, words, every: bool) -> DataFrame:
         dealt = rows.mapInArrow(_deal(parts, words, every), _DEALT).repartition(parts, "part").sortWithinPartitions("part")

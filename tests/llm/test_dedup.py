@@ -230,7 +230,7 @@ def line_rows():
     return rows
 
 
-@pytest.mark.parametrize("change", [{}, {"HOT_LEVEL": 3, "BLOCK_ROWS": 8}, {"MOST_SEEN": 2, "CHUNK_LINES": 5}, {"BROADCAST_ROWS": 2, "PAIRS": 7, "TASK_ENTRIES": 50, "NEIGHBOURS": 1}])
+@pytest.mark.parametrize("change", [{}, {"HOT_LEVEL": 3, "BLOCK_ROWS": 8}, {"MOST_SEEN": 2, "CHUNK_LINES": 5}, {"BROADCAST_ROWS": 2, "PAIRS": 7, "TASK_ENTRIES": 50, "NEIGHBOURS": 1}, {"FOLDED_LINE": 4, "SHORT_LINE": 20, "LEAST_PARTS": 1}])
 def test_lines(spark, line_rows, monkeypatch, change):
     for name, value in change.items():
         monkeypatch.setattr(linededup, name, value)
