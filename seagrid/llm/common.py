@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import tempfile
 import uuid
@@ -14,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
-_SCOPES: list[list[str]] = []
+#: Lists of paths, innermost last; each thread has its own.
+_SCOPES: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scratch scopes", default=())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the session names in ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary
-    folder of this process is used instead.
+    Only where the session names none and runs in one process (tests) a temporary
+    folder is used instead; on a cluster executors would not share it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="seagrid-")
@@ -54,7 +59,8 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    scopes = _SCOPES[: len(_SCOPES) - keep]
+    scopes = _SCOPES.get()
+    scopes = scopes[: len(scopes) - keep]
     if scopes:
         scopes[-1].append(path)
     df.write.parquet(path)
@@ -65,11 +71,11 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables materialized inside; what leaves the block must not read them."""
     paths: list[str] = []
-    _SCOPES.append(paths)
+    outer = _SCOPES.set((*_SCOPES.get(), paths))
     try:
         yield
     finally:
-        _SCOPES.remove(paths)
+        _SCOPES.reset(outer)
         for path in paths:
             delete_path(spark, path)
 

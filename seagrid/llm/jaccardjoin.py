@@ -22,14 +22,15 @@ Sets that share a signature are candidates, and nothing else is compared:
    components is compared: in blocks of bounded size, so that no group is
    gathered whole, and in rows that hold both blocks.
 
-Comparisons count common 32-bit hashes, an upper bound of the similarity; what
+Every class has a map of about one bit a shingle. Two maps can't differ in more
+places than their sets do, so pairs whose maps differ too much are left out; what
 passes is verified on 64-bit hashes of whole shingles. Links inside a component
 that is already connected are not needed and not listed.
 
 Edge cases: a null text, or one without words, has the empty set and is linked with
 nothing. A text with fewer words than a shingle is one shingle. Equal texts and
 repeated rows are in one component. Texts that share a document id are in one
-component too; of these the one with the least hashes stands for the id in
+component too; of these the one with the least key stands for the id in
 comparisons. A row with a null id gets the component of its equal texts, or null.
 """
 
@@ -54,6 +55,8 @@ BLOCK_SHINGLES = 256 * 1024
 FILTER_BITS = 1 << 27
 #: Tables of up to so many rows of at most 64 bytes are broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
+#: Classes of a signature are parted into about so many before they are put into blocks.
+PART_CLASSES = 1024
 #: A band and its neighbour are taken to hold this share of all sets.
 BAND_SHARE = 0.1
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -179,6 +182,26 @@ class Signer:
         return distinct(np.concatenate(out)).view(np.int64)
 
 
+def _key(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
+def set_map(shingles: np.ndarray) -> bytes:
+    """A bit for each shingle's place among 64 bits, or the next power of two."""
+    size = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[((shingles >> np.uint64(24)) & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def folded(raw: bytes, size: int) -> np.ndarray:
+    """The map of the same set in ``size`` bytes, as 64-bit words."""
+    out = np.frombuffer(raw, np.uint64)
+    while len(out) * 8 > size:
+        out = out[: len(out) // 2] | out[len(out) // 2 :]
+    return out
+
+
 def _lists(arrays: list[np.ndarray], dtype) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(dtype) if arrays else np.zeros(0, dtype)))
@@ -222,44 +245,58 @@ def _signed(words: int, num: int, den: int, population: int, bits):
                 x = sign(s)
                 place = x & (FILTER_BITS - 1)
                 signatures.append(x[bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1])
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists(signatures, np.int64)], names=["doc_id", "text_key", "n_shingles", "key", "signatures"])
+            keys = [_key(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([set_map(s) for s in sets], pa.binary()), _lists(signatures, np.int64)], names=["doc_id", "text_key", "n_shingles", "key", "map", "signatures"])
 
     return run
 
 
 def _sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and its shingles: 64-bit hashes, and the sorted upper halves of these."""
+    """doc_id, key and 64-bit hashes of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in _text_batches(batches, 1, 500):
             sets = shingle.many(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())], names=["id", "full", "half"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_key(s) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "key", "full"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, full binary, half binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, key binary, full binary").filter("key IS NOT NULL")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Common values of two sorted arrays, each value as often as both hold it."""
+    """Common values of two sorted arrays of distinct ones."""
     both = np.concatenate([a, b])
     both.sort(kind="stable")
     return int((both[1:] == both[:-1]).sum())
 
 
-def _checker(num: int, den: int, dtype):
-    """Keeps the pairs (a, b) whose sets are similar, as far as hashes of this width tell."""
+def _near_maps(num: int, den: int):
+    """Keeps the pairs (a, b) whose sets may be similar, by their sizes and maps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = np.frombuffer(x.as_py(), dtype), np.frombuffer(y.as_py(), dtype)
-                small, large = min(len(s), len(t)), max(len(s), len(t))
-                if small * den < large * num:
+            for n, x, m, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                if min(n, m) * den < max(n, m) * num:
                     keep.append(False)
                     continue
-                i = _common(s, t)  # repeats in narrow hashes only raise it
+                size = min(len(x), len(y))
+                differ = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64))
+                keep.append(differ <= most_apart(n + m, num, den))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _similar(num: int, den: int):
+    """Keeps the pairs (a, b) whose sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1000):
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                i = _common(s, t)
                 keep.append(den * i >= num * (len(s) + len(t) - i))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -271,15 +308,24 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def verify_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The similar ones among the pairs (a, b)."""
-    for column, dtype in (("half", np.uint32), ("full", np.uint64)):
-        wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-        near = sets.select("id", column).join(_small(wanted), "id", "left_semi")
-        side = lambda name: near.select(F.col("id").alias(name), F.col(column).alias(f"set_{name}"))  # noqa: B023, E731
-        joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
-        pairs = materialize(joined.mapInArrow(_checker(num, den, dtype), "a long, b long"), f"pairs-{column}")
-    return pairs
+def _both(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the further columns of ``held`` (by id) for either end."""
+    side = lambda name: held.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in held.columns if c != "id"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{c}_{n}" for n in "ab" for c in held.columns if c != "id"))
+
+
+def near_pairs(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that may be similar by the maps (id, n, map)."""
+    return _both(pairs, maps).mapInArrow(_near_maps(num, den), "a long, b long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """The similar ones among the pairs (a, b); only their texts are shingled once more."""
+    pairs = materialize(pairs, "near")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct(), "wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    sets = _sets(texts.join(_small(wanted), "__id", "left_semi"), words, "__id", "__text").groupBy("id").agg(F.min(F.struct("key", "full")).alias("s")).select("id", "s.full")
+    return materialize(_both(pairs, materialize(sets, "sets")).mapInArrow(_similar(num, den), "a long, b long"), "links")
 
 
 def _cross_pairs(num: int, den: int):
@@ -288,30 +334,18 @@ def _cross_pairs(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             row = batch.to_pylist()[0]
-            left, right = row["left"], row["right"]
-            sides = [[np.frombuffer(m["half"], np.uint32) for m in side] for side in (left, right)]
-            values = distinct(np.concatenate([v for side in sides for v in side]))
-            found: list[tuple[int, int]] = []
-            sizes = [np.array([len(v) for v in side], np.int64) for side in sides]
-            total = np.zeros((len(left), len(right)), np.int64)
-            for at in range(0, len(values), 8192):  # the universe in strips, so that matrices stay small
-                strip = values[at : at + 8192]
-                dense = []
-                for side in sides:
-                    m = np.zeros((len(side), len(strip)), np.float32)
-                    for i, v in enumerate(side):
-                        lo, hi = np.searchsorted(v, [strip[0], strip[-1]], "left")[0], np.searchsorted(v, strip[-1], "right")
-                        part, times = np.unique(v[lo:hi], return_counts=True)
-                        m[i, np.searchsorted(strip, part)] = times
-                    dense.append(m)
-                total += np.rint(dense[0] @ dense[1].T).astype(np.int64)
-            union = sizes[0][:, None] + sizes[1][None, :] - total
-            near = den * total >= num * union
-            ids = [np.array([m["id"] for m in side], np.int64) for side in (left, right)]
-            groups = [np.array([m["component"] for m in side], np.int64) for side in (left, right)]
-            near &= (groups[0][:, None] != groups[1][None, :]) & (ids[0][:, None] != ids[1][None, :])
-            i, j = np.nonzero(near)
-            a, b = ids[0][i], ids[1][j]
+            least = min(len(m["map"]) for side in ("left", "right") for m in row[side])
+            left, right = ({n: np.array([m[n] for m in row[side]], np.int64) for n in ("id", "component", "n")} | {"map": np.stack([folded(m["map"], least) for m in row[side]])} for side in ("left", "right"))
+            found = []
+            for i in range(len(left["id"])):
+                n = left["n"][i]
+                near = np.minimum(right["n"], n) * den >= np.maximum(right["n"], n) * num
+                near &= (right["component"] != left["component"][i]) & (right["id"] != left["id"][i])
+                at = np.flatnonzero(near)
+                differ = np.bitwise_count(right["map"][at] ^ left["map"][i]).sum(axis=1, dtype=np.int64)
+                at = at[differ <= (right["n"][at] + n) * (den - num) // (den + num)]
+                found.append(np.stack([np.full(len(at), left["id"][i]), right["id"][at]]))
+            a, b = np.concatenate(found, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
@@ -332,7 +366,7 @@ def _jaccard_components(docs: DataFrame, words: int, num: int, den: int, id_col:
     for r in chunks.toLocalIterator():
         bitmap[(r["chunk"] - 1) * 4096 : r["chunk"] * 4096] = r["bits"]
     bits = spark.sparkContext.broadcast(bytes(bitmap))
-    signed = source.select("doc_id", "text_key", "text").mapInArrow(_signed(words, num, den, population, bits), "doc_id long, text_key binary, n_shingles long, key binary, signatures array<long>")
+    signed = source.select("doc_id", "text_key", "text").mapInArrow(_signed(words, num, den, population, bits), "doc_id long, text_key binary, n_shingles long, key binary, map binary, signatures array<long>")
     signed = materialize(signed, "signed")
     bits.destroy()
     classes = materialize(signed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("id")), "classes")
@@ -348,8 +382,10 @@ def _jaccard_components(docs: DataFrame, words: int, num: int, den: int, id_col:
     hubs = weighed.groupBy("signature").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top")).select("signature", (-F.col("top.minus")).alias("hub"))
     star = members.join(_small(hubs), "signature").filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     involved = members.select("id").distinct()
-    sets = materialize(_sets(docs.join(_small(involved.withColumnRenamed("id", id_col)), id_col, "left_semi"), words, id_col, text_col).groupBy("id").agg(F.min(F.struct("full", "half")).alias("s")).select("id", "s.*"), "sets")
-    links = verify_pairs(star, sets, num, den)
+    held = signed.filter(F.col("key").isNotNull()).select(F.col("doc_id").alias("id"), F.struct("key", F.col("n_shingles").alias("n"), "map").alias("s"))
+    maps = materialize(held.join(_small(involved), "id", "left_semi").groupBy("id").agg(F.min("s").alias("s")).select("id", "s.n", "s.map"), "maps")
+    verified = lambda pairs: _verified(pairs, docs, words, num, den, id_col, text_col)
+    links = verified(near_pairs(star, maps, num, den))
 
     # What is left: signatures with several components, in blocks.
     first = components(links)
@@ -359,9 +395,8 @@ def _jaccard_components(docs: DataFrame, words: int, num: int, den: int, id_col:
     few = left.filter(F.col("n") <= 16)
     pairs = few.select("signature", "id", "component").join(few.select("signature", F.col("id").alias("b"), F.col("component").alias("other")), "signature").filter("id < b AND component <> other").select(F.col("id").alias("a"), "b").distinct()
     many = left.filter(F.col("n") > 16)
-    near = materialize(pairs.join(star, ["a", "b"], "left_anti"), "rest")
-    more = _blocked(many, sets, num, den)
-    rest = verify_pairs(near.union(more.distinct()), sets, num, den)
+    near = near_pairs(pairs.join(star, ["a", "b"], "left_anti"), maps, num, den)
+    rest = verified(near.union(_blocked(many, maps, num, den)).distinct())
     linked = components(links.union(rest))
 
     owner = classes.join(linked, classes["id"] == linked["node"], "left").select("key", F.coalesce("component", "id").alias("component"))
@@ -378,16 +413,17 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, num: int = 90, den: i
         return materialize(_jaccard_components(docs, words, num, den, id_col, text_col), "jaccard", keep=True)
 
 
-def _blocked(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _blocked(members: DataFrame, maps: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different components within a signature, found block against block."""
-    # Blocks are dealt by component, so that those of one component need no comparison.
+    # Blocks are dealt by component, so that those of one component need no comparison; a large one has several parts.
     order = Window.partitionBy("signature", "part").orderBy("component", "id")
-    sized = members.join(sets.select("id", (F.octet_length("half") / 4).cast("long").alias("size")), "id")
-    dealt = sized.withColumn("part", F.pmod(F.xxhash64("component"), F.ceil(F.col("n") / 4096)))
-    held = F.sum(F.greatest("size", F.lit(1024))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shares = members.groupBy("signature", "component").agg(F.count("*").alias("share"))
+    dealt = members.join(shares, ["signature", "component"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("share") / PART_CLASSES)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("component", "salt"), F.ceil(F.col("n") / PART_CLASSES)))
+    dealt = dealt.select("signature", "id", "component", "part").join(maps, "id")
+    held = F.sum(F.greatest("n", F.lit(1024))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     dealt = dealt.withColumn("block", F.floor((held - 1) / BLOCK_SHINGLES))
-    full = dealt.join(sets.select("id", "half"), "id")
-    blocks = full.groupBy("signature", "part", "block").agg(F.collect_list(F.struct("id", "component", "half")).alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    blocks = dealt.groupBy("signature", "part", "block").agg(F.collect_list(F.struct("id", "component", "n", "map")).alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     blocks = materialize(blocks.withColumn("place", F.col("part") * (1 << 32) + F.col("block")), "blocks")
     other = blocks.select("signature", F.col("place").alias("place2"), F.col("rows").alias("right"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     met = blocks.join(other, "signature").filter("place <= place2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)").select(F.col("rows").alias("left"), "right")

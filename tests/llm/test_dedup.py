@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import EDGE_TEXTS, frame
-from seagrid.llm import linededup, suffixdedup
+from seagrid.llm import jaccardjoin, linededup, suffixdedup
 from seagrid.llm.components import components
 from seagrid.llm.jaccardjoin import allocate, jaccard_components, most_apart, op10_ngram_jaccard_join, size_bands
 from seagrid.llm.linededup import op4_line_similarity_dedup, remove_repeated_lines
@@ -83,6 +83,24 @@ def test_jaccard_components(spark, near_copies, k, num):
     assert got == brute_components(near_copies, k, num, 100)
 
 
+def test_jaccard_components_in_small_blocks(spark, near_copies, monkeypatch):
+    for name, value in {"PART_CLASSES": 4, "BLOCK_SHINGLES": 4096, "BROADCAST_ROWS": 2, "FILTER_BITS": 1 << 15}.items():
+        monkeypatch.setattr(jaccardjoin, name, value)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_components(frame(spark, near_copies), words=5, num=80, den=100).collect()}
+    assert got == brute_components(near_copies, 5, 80, 100)
+
+
+def test_maps_never_part_similar_sets():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 7, 63, 64, 65, 130, 1000):
+        a = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.unique(np.append(a[r.random(n) > 0.1], r.integers(0, 1 << 63, max(1, n // 10), dtype=np.uint64)))
+        x, y = jaccardjoin.set_map(a), jaccardjoin.set_map(b)
+        size = min(len(x), len(y))
+        differ = np.bitwise_count(jaccardjoin.folded(x, size) ^ jaccardjoin.folded(y, size)).sum()
+        assert differ <= len(np.setxor1d(a, b))
+
+
 def test_op10(spark, documents):
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in op10_ngram_jaccard_join(spark, "/root/testdata/sf0.001").collect()}
     assert got == brute_components([tuple(x) for x in documents.select("doc_id", "text").collect()], 3, 90, 100)
