@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import contextvars
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -76,6 +77,8 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _SCOPES.reset(outer)
+        gc.collect()  # else the driver's JVM keeps the plans that frames out of use refer to
+        release_memory()
         for path in paths:
             delete_path(spark, path)
 

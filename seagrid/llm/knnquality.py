@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seagrid.llm.common import short_batches, slices, table
+from seagrid.llm.common import release_memory, short_batches, slices, table
 
 BUCKETS = 4096
 RANK = 96
@@ -74,24 +74,37 @@ def term_counts(texts: list[bytes]) -> np.ndarray:
 class LatentSpace:
     """Trigram weights and singular directions of a sample, with its vectors and labels.
 
-    The counts are used up, so that a sample's matrix stands in memory once.
+    The sample comes as (terms, counts) of each text; its matrix is only ever made
+    some rows at a time.
     """
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
         self.prior = float(labels.mean()) if len(labels) else 1.0
         self.labels = labels.astype(np.float32)
-        held = np.count_nonzero(counts, axis=0)
-        self.weight = np.where(held > 0, np.log((1 + len(counts)) / (1 + held)) + 0.1, 0).astype(np.float32)
+        held = np.zeros(TERMS)
+        for at, _ in rows:
+            held[at] += 1
+        self.weight = np.where(held > 0, np.log((1 + len(rows)) / (1 + held)) + 0.1, 0).astype(np.float32)
         self.weight[BUCKETS] *= REPEAT_WEIGHT
-        damped = self.damp(counts, own=True)
-        rank = min(RANK, *damped.shape)
+        rank = min(RANK, len(rows), TERMS)
         # Leading directions by subspace iteration from a fixed start.
         basis = np.random.default_rng(11).standard_normal((TERMS, min(rank + 16, TERMS))).astype(np.float32)
         for _ in range(5):
-            basis, _ = np.linalg.qr(damped.T @ (damped @ basis))
-        _, _, turn = np.linalg.svd(damped @ basis, full_matrices=False) if len(damped) else (0, 0, np.eye(basis.shape[1], dtype=np.float32))
+            turned = np.zeros_like(basis)
+            for block in self._blocks(rows):
+                turned += block.T @ (block @ basis)
+            basis, _ = np.linalg.qr(turned)
+        seen = np.concatenate([np.zeros((0, basis.shape[1]), np.float32), *(block @ basis for block in self._blocks(rows))])
+        _, _, turn = np.linalg.svd(seen, full_matrices=False) if len(rows) else (0, 0, np.eye(basis.shape[1], dtype=np.float32))
         self.directions = np.ascontiguousarray((basis @ turn.T)[:, :rank])
-        self.vectors = self.unit(damped @ self.directions)
+        self.vectors = self.unit(np.concatenate([np.zeros((0, rank), np.float32), *(block @ self.directions for block in self._blocks(rows))]))
+
+    def _blocks(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+        for start in range(0, len(rows), 256):
+            counts = np.zeros((len(rows[start : start + 256]), TERMS), np.float32)
+            for row, (at, n) in zip(counts, rows[start : start + 256]):
+                row[at] = n
+            yield self.damp(counts, own=True)
 
     def damp(self, counts: np.ndarray, own: bool = False) -> np.ndarray:
         """Damped, weighted rows of length 1; with ``own``, in the place of the counts."""
@@ -140,10 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "label", "at", "count"])
 
     got = joined.select(F.col("id").cast("long").alias("id"), "label", "text").mapInArrow(featurize, "id long, label double, at binary, count binary").toArrow().sort_by("id")
-    counts = np.zeros((got.num_rows, TERMS), np.float32)
-    for i, (at, n) in enumerate(zip(got.column("at").to_pylist(), got.column("count").to_pylist())):
-        counts[i, np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.float32)
-    return LatentSpace(counts, np.array(got.column("label").to_pylist(), np.float64))
+    rows = [(np.frombuffer(at.as_buffer(), np.uint16), np.frombuffer(n.as_buffer(), np.float32)) for at, n in zip(got.column("at"), got.column("count"))]
+    space = LatentSpace(rows, np.array(got.column("label").to_pylist(), np.float64))
+    del rows, got
+    release_memory()
+    return space
 
 
 def score_documents(docs: DataFrame, space: LatentSpace, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

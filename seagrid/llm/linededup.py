@@ -567,6 +567,7 @@ def _repeated_lines(placed: DataFrame, text_col: str, num: int, den: int) -> Dat
     del levels
     lines = materialize(texts.mapInArrow(_sign_lines(num, den, sent), _LINES), "lines")
     sent.destroy()
+    del sent
     columns = [*(F.col(c) for c in ("ord", "line")), F.col("k1").alias("set"), *(F.col(c) for c in ("size", "b1", "b2", "wide"))]
 
     # A part holds its words whole; none of them is frequent, so enough parts make each one small.

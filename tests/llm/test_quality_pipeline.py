@@ -1,9 +1,10 @@
 """Operator 5 by held-out accuracy, and the pipeline against its parts."""
 
+import numpy as np
 import zlib
 
 from conftest import EDGE_TEXTS, frame
-from seagrid.llm.knnquality import fit, op5_nearest_neighbour_quality, score_documents
+from seagrid.llm.knnquality import NEIGHBOURS, SHARPNESS, fit, op5_nearest_neighbour_quality, score_documents, term_counts
 
 
 def test_held_out_accuracy(spark):
@@ -67,3 +68,18 @@ def test_pipeline_stages_take_odd_rows(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             now = corpus_pipeline.materialize(stage(spark, now, str(tmp_path)), "test")
             assert now.count() >= 0, name
+
+
+def test_votes_against_brute_force(spark, documents):
+    """The same space, all cosines at once, neighbours by a full sort."""
+    space = fit(documents, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    rows = documents.select("doc_id", "text").collect()
+    counts = np.log1p(term_counts([(r.text or "").encode() for r in rows]).astype(np.float64)) * space.weight
+    vectors = counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-12) @ space.directions
+    cosine = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12) @ space.vectors.T
+    got = {x.doc_id: x.score for x in score_documents(documents, space).collect()}
+    for r, c in zip(rows, cosine):
+        near = np.argsort(-c)[:NEIGHBOURS]
+        vote = np.maximum(c[near], 0) ** SHARPNESS
+        want = (vote * space.labels[near]).sum() / vote.sum() if vote.sum() > 1e-9 else space.prior
+        assert abs(got[r.doc_id] - want) < 2e-3
