@@ -54,7 +54,10 @@ def format_value(value: Column) -> Column:
 
 
 def format_any(value: Column) -> Column:
-    return F.coalesce(value.cast("string"), F.lit(NO_DATA_TEXT))
+    """Floating-point numbers with up to five decimals, True or False, and else the plain text."""
+    text, kind = value.cast("string"), F.typeof(value)
+    number = F.call_function("format_number", text.try_cast("double"), F.lit("0.#####"))
+    return F.coalesce(F.when(kind.isin("double", "float"), number).when(kind == "boolean", F.initcap(text)).otherwise(text), F.lit(NO_DATA_TEXT))
 
 
 def depth_label(depth: Column) -> Column:
@@ -62,12 +65,13 @@ def depth_label(depth: Column) -> Column:
 
 
 def parse_double(text: Column) -> Column:
-    """Null where the text is no number."""
-    return F.trim(text).try_cast("double")
+    """Null where the text, white space around it aside, is no decimal number, infinity or NaN."""
+    return F.regexp_extract(text, r"^\s*([+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:infinity|nan)))\s*$", 1).try_cast("double")
 
 
 def parse_int(text: Column) -> Column:
-    return F.trim(text).try_cast("int")
+    """Null where the text, white space around it aside, is no whole number of 32 bits."""
+    return F.regexp_extract(text, r"^\s*([+-]?\d+)\s*$", 1).try_cast("int")
 
 
 def raster_cell(x: Column, y: Column, shown_width: float, shown_height: float, width: int, height: int) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from seagrid.errors import GridDataError
 from seagrid.functions.axes import axis_bounds, axis_value, nearest_index, normalize_longitude
 from seagrid.functions.decode import unpack
-from seagrid.functions.timefile import month_file, month_or_now
+from seagrid.functions.timefile import month_or_now, resolve_file
 from seagrid.schema import LON_BLOCK
 from seagrid.sources.field import Field
 
@@ -103,7 +103,7 @@ def nearest_points(points: DataFrame, field: Field, *, now: datetime | None = No
     keyed = found.withColumns(cell_keys(field, F.col("p_lat"), F.col("p_lon"), F.col("p_depth"), p_month))
     file = F.lit(field.file).cast("string")
     if field.monthly and field.file_pattern:
-        file = F.concat_ws("/", F.lit(field.file), month_file(F.lit(field.file_pattern), p_month))
+        file = F.element_at(F.array(*(F.lit(resolve_file(field.file or "", field.file_pattern, m)) for m in range(1, 13))), p_month)
     return read_cells(keyed, field).select(
         "query_id",
         F.lit(field.source_id).alias("source_id"),

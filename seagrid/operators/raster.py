@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from seagrid.errors import GridDataError
 from seagrid.functions.axes import axis_bounds, axis_literal, bisect_nearest
 from seagrid.functions.decode import unpack
+from seagrid.functions.timefile import resolve_file
 from seagrid.schema import LON_BLOCK
 from seagrid.sources.field import Field
 
@@ -125,12 +126,17 @@ def nan_min(value: Column) -> Column:
 
 
 def raster_summary(field: Field, spec: GridSpec, *, now: datetime | None = None) -> DataFrame:
-    """One row about the raster: size, bounds, depth, minimum, maximum and metadata."""
+    """One row about the raster: size, bounds, depth, minimum, maximum and metadata.
+
+    The metadata names the file that was read; the bounds asked for stand in a column of
+    their own instead of the entry ``requestedBounds``.
+    """
     now = now or datetime.now()
     at = sample_positions(field, spec, now)
     cells = raster_cells(field, spec, now=now)
     layout = field.layout
-    given = {k: v for k, v in (field.metadata or {}).items() if k not in ("file", "sampling")} | {"file": field.file, "sampling": spec.sampling}
+    file = resolve_file(field.file or "", field.file_pattern, at.month) if field.monthly else field.file
+    given = {k: v for k, v in (field.metadata or {}).items() if k not in ("file", "sampling", "requestedBounds")} | {"file": file, "sampling": spec.sampling}
     pairs = [F.lit(x).cast("string") for k, v in given.items() for x in (k, v)]
     return cells.agg(nan_min(F.col("value")).alias("minimum"), F.max("value").alias("maximum")).select(
         F.lit(field.source_id).alias("source_id"),
@@ -148,6 +154,18 @@ def raster_summary(field: Field, spec: GridSpec, *, now: datetime | None = None)
     )
 
 
+def raster_result(field: Field, spec: GridSpec, *, now: datetime | None = None) -> DataFrame:
+    """The summary's row with latitudes, longitudes and all values, row by row from the north.
+
+    A raster has 2,048 by 2,048 values at most, so the row is bounded.
+    """
+    now = now or datetime.now()
+    at = sample_positions(field, spec, now)
+    lines = raster_lines(field, spec, now=now).agg(F.sort_array(F.collect_list(F.struct("row", "latitude", "values"))).alias("lines"))
+    arrays = lines.select(F.col("lines.latitude").alias("latitudes"), axis_literal(field.layout.lon[at.lon_i]).alias("longitudes"), F.flatten("lines.values").alias("values"))
+    return raster_summary(field, spec, now=now).crossJoin(F.broadcast(arrays))  # one row each
+
+
 def cell_value(cells: DataFrame, spec: GridSpec, row: int, column: int) -> DataFrame:
     """The value of one raster cell; positions are checked."""
     if not 0 <= row < spec.height or not 0 <= column < spec.width:

@@ -37,15 +37,15 @@ def packed_cells(rows: DataFrame, month: Column, depth_i: Column, lat_i: Column,
 
 
 def price_field(spark: SparkSession, sf_dir: str) -> Field:
-    """Least order price by customer and order number; one latitude is left out."""
-    orders = table(spark, sf_dir, "orders").filter(F.col("o_custkey") % LATS != 7)
+    """Least order price by customer and order number."""
+    orders = table(spark, sf_dir, "orders")
     cells = packed_cells(orders, F.lit(0), F.lit(0), F.col("o_custkey") % LATS, F.col("o_orderkey") % LONS, F.col("o_totalprice"), 60000.0)
     return Field("PRICE", "Bathymetry", "price", Layout(latitudes(), longitudes(), None, PACKING, ("lat", "lon")), cells, "m", {"dataset": "orders", "sampling": "replaced"}, file="orders.parquet")
 
 
 def quantity_field(spark: SparkSession, sf_dir: str) -> Field:
-    """Least line price by part and order; half of the latitudes are left out."""
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_partkey") % LATS < 13)
+    """Least line price by part and order."""
+    lines = table(spark, sf_dir, "lineitem")
     cells = packed_cells(lines, F.lit(0), F.lit(0), F.col("l_partkey") % LATS, F.col("l_orderkey") % LONS, F.col("l_extendedprice"), 2000.0)
     return Field("QUANTITY", "Bathymetry", "quantity", Layout(latitudes(), longitudes(), None, PACKING, ("lat", "lon")), cells, "m", None, file="lineitem.parquet")
 

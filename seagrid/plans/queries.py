@@ -53,8 +53,8 @@ AXES = f"ax AS (SELECT {LAT} AS lat, {LON} AS lon, {DEPTH} AS dep)"
 SHIFTED = "(CASE WHEN lon < 0 THEN lon + 360 ELSE lon END)"
 RAW = "CASE WHEN min({amount}) > {limit} THEN -32768e0 ELSE CAST(floor(min({amount}) / 100) AS DOUBLE) END AS raw"
 VALUE = "CASE WHEN raw IS NULL OR raw = -32768 THEN NULL ELSE raw * 0.01e0 + 5e0 END"
-PRICE = f"cells AS (SELECT o_custkey % 25 AS i, o_orderkey % 36 AS j, {RAW.format(amount='o_totalprice', limit=60000)} FROM orders WHERE o_custkey % 25 <> 7 GROUP BY 1, 2)"
-QUANTITY = f"cells2 AS (SELECT l_partkey % 25 AS i, l_orderkey % 36 AS j, {RAW.format(amount='l_extendedprice', limit=2000)} FROM lineitem WHERE l_partkey % 25 < 13 GROUP BY 1, 2)"
+PRICE = f"cells AS (SELECT o_custkey % 25 AS i, o_orderkey % 36 AS j, {RAW.format(amount='o_totalprice', limit=60000)} FROM orders GROUP BY 1, 2)"
+QUANTITY = f"cells2 AS (SELECT l_partkey % 25 AS i, l_orderkey % 36 AS j, {RAW.format(amount='l_extendedprice', limit=2000)} FROM lineitem GROUP BY 1, 2)"
 POINTS = (
     "pts AS (SELECT event_id AS query_id, CAST((user_id * 37) % 181 - 90 AS DOUBLE) AS la, CAST((event_id * 53) % 721 - 360 AS DOUBLE) AS lon, "
     "CASE WHEN event_id % 7 <> 0 THEN CAST((event_id * 13) % 600 AS DOUBLE) END AS de, CASE WHEN event_id % 5 <> 0 THEN event_id % 12 + 1 ELSE 8 END AS mo FROM events)"

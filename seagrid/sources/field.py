@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from seagrid.functions.decode import Packing
@@ -48,6 +49,12 @@ class Field:
         return replace(self, cells=cells)
 
 
+def same_layout(a: Layout, b: Layout) -> bool:
+    """Whether cells of both are found and decoded alike."""
+    axes = all(np.array_equal(x, y) if x is not None and y is not None else x is y for x, y in ((a.axis(n), b.axis(n)) for n in AXES))
+    return axes and a.uses == b.uses and repr(a.packing) == repr(b.packing)  # a mark may be NaN
+
+
 def axis_owners(dims: list[int], axis_dims: dict[str, int]) -> dict[int, str]:
     """Which axis moves each dimension: the first place of its dimension, the last axis if several share it."""
     owner: dict[int, str] = {}
@@ -81,12 +88,17 @@ def grid_view(path: str, variable: str, latitude: str, longitude: str, depth: st
     return view.transpose([kept.index(n) for n in ("depth", "lat", "lon")])
 
 
-def cell_rows(view: np.ndarray, month: int, depth_i: int, first: int, last: int) -> Iterator[tuple]:
-    """Rows of CELLS for the latitudes from ``first`` to before ``last``."""
-    for lat_i in range(first, last):
-        line = np.asarray(view[depth_i, lat_i], np.float64)
-        for block in range(0, len(line), LON_BLOCK):
-            yield month, depth_i, lat_i, block // LON_BLOCK, line[block : block + LON_BLOCK].tolist()
+def cell_rows(view: np.ndarray, month: int, depth_i: int, lats: list[int], blocks: list[int]) -> Iterator[pa.RecordBatch]:
+    """Batches of CELLS for some latitudes and blocks of longitudes."""
+    at_once = max(1, (1 << 20) // LON_BLOCK // max(1, len(blocks)))
+    for start in range(0, len(lats), at_once):
+        some = lats[start : start + at_once]
+        lines = [np.asarray(view[depth_i, lat_i, b * LON_BLOCK : (b + 1) * LON_BLOCK], np.float64) for lat_i in some for b in blocks]
+        offsets = np.cumsum([0, *map(len, lines)]).astype(np.int32)
+        n = len(lines)
+        ints = (np.full(n, month), np.full(n, depth_i), np.repeat(some, len(blocks)), np.tile(blocks, len(some)))
+        values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lines)))
+        yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in ints), values], names=["month", "depth_i", "lat_i", "lon_block", "values"])
 
 
 def stored_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -96,4 +108,4 @@ def stored_cells(spark: SparkSession, path: str) -> DataFrame:
 
 def write_cells(cells: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Cells by month, sorted so that row groups can be skipped by depth and latitude."""
-    cells.repartition("month", "depth_i").sortWithinPartitions("month", "depth_i", "lat_i", "lon_block").write.mode(mode).partitionBy("month").parquet(path)
+    cells.repartitionByRange("month", "depth_i", "lat_i").sortWithinPartitions("month", "depth_i", "lat_i", "lon_block").write.mode(mode).partitionBy("month").parquet(path)

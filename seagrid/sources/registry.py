@@ -11,6 +11,7 @@ import threading
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,10 +20,10 @@ from seagrid.errors import EngineClosed, SourceNotReady, SourceNotRegistered
 from seagrid.operators import points as point_ops
 from seagrid.operators import raster as raster_ops
 from seagrid.schema import SOURCE_OPTION, SOURCE_STATE
-from seagrid.functions.timefile import resolve_file
+from seagrid.functions.timefile import month_or_now, resolve_file
 from seagrid.sources.classic import ClassicFile, UnsupportedFlavour
 from seagrid.sources.config import SourceOption, load_catalog, resolve_source_path
-from seagrid.sources.field import Field, read_layout
+from seagrid.sources.field import Field, read_layout, same_layout
 from seagrid.sources.netcdf import read_cells
 
 
@@ -192,22 +193,55 @@ class OceanGrids:
         cells = read_cells(self.spark, path, option.variable, latitude=option.latitude_variable, longitude=option.longitude_variable, depth=option.depth_variable, pattern=option.file_pattern)
         return Field(option.id, option.type, option.variable, layout, cells, option.unit, option.metadata, monthly, path, option.file_pattern)
 
-    def _months(self, option: SourceOption, points: DataFrame) -> list[int] | None:
-        """Which months the points ask for: twelve at most."""
-        if not (option.file_pattern or "").strip():
-            return None
-        found = points.select(F.coalesce(F.month("date_time"), F.lit(self.clock().month)).alias("m")).distinct().collect()
-        return sorted(r["m"] for r in found) or None
+    def _months(self, field: Field, points: DataFrame) -> list[int]:
+        """Which months the points ask for, twelve at most; a stream may ask for every month that has a file."""
+        if points.isStreaming:
+            return [m for m in range(1, 13) if os.path.isfile(resolve_file(field.file, field.file_pattern, m))]
+        found = points.select(month_or_now(F.col("date_time"), self.clock()).alias("m")).distinct().collect()
+        return sorted(r["m"] for r in found)
 
-    def query_points(self, source_id: str, points: DataFrame) -> DataFrame:
-        """One row per point: the nearest value of one source, null where it is missing."""
+    def _fields(self, source_id: str, points: DataFrame) -> list[tuple[Field, list[int] | None]]:
+        """A field for each layout among the monthly files that the points ask for, with its months."""
         field = self.field(source_id)
-        with self._lock:
-            option = self._sources[source_id.lower()][0]
-        months = self._months(option, points)
-        if months:
-            field = self.field(source_id, months)
-        return point_ops.nearest_points(points, field, now=self.clock())
+        months = self._months(field, points) if field.monthly else []
+        out: list[tuple[Field, list[int]]] = []
+        for month in months:
+            of_month = self.field(source_id, [month])
+            for known, its in out:
+                if same_layout(known.layout, of_month.layout):
+                    its.append(month)
+                    break
+            else:
+                out.append((of_month, [month]))
+        return out or [(field, None)]
+
+    def _near(self, points: DataFrame, field: Field, now: datetime) -> Field:
+        """The field with only the cells between the least and the largest keys of the points."""
+        keys = point_ops.point_indexes(points, field, now)
+        ends = keys.agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("depth_i", "lat_i"))).first()
+        cells = field.cells
+        for column, axis in (("depth_i", "depth"), ("lat_i", "lat")):
+            if axis in field.layout.uses and ends[f"min_{column}"] is not None:
+                cells = cells.filter((F.col(column) >= ends[f"min_{column}"]) & (F.col(column) <= ends[f"max_{column}"]))
+        return field.with_cells(cells)
+
+    def query_points(self, source_id: str, points: DataFrame) -> DataFrame:
+        """One row per point: the nearest value of one source, null where it is missing.
+
+        Monthly files that differ in axes or packing are read apart. Of a table of points
+        (not of a stream) the months and the range of depths and latitudes are found
+        first, so that nothing else is read from the files.
+        """
+        now = self.clock()
+        parts = []
+        for field, months in self._fields(source_id, points):
+            its = points if months is None else points.filter(month_or_now(F.col("date_time"), now).isin(months))
+            if months is not None:
+                field = field.with_cells(field.cells.filter(F.col("month").isin(months)))
+            if not points.isStreaming:
+                field = self._near(its, field, now)
+            parts.append(point_ops.nearest_points(its, field, now=now))
+        return reduce(DataFrame.unionByName, parts)
 
     def query_all(self, points: DataFrame) -> DataFrame:
         """The values of every ready source; missing ones are left out."""
@@ -231,5 +265,10 @@ class OceanGrids:
         raster_ops.check_bounds(spec)
         return raster_ops.raster_summary(self._grid_field(source_id, spec), spec, now=self.clock())
 
+    def query_grid_result(self, source_id: str, spec: raster_ops.GridSpec) -> DataFrame:
+        """One row: the summary with all latitudes, longitudes and values."""
+        raster_ops.check_bounds(spec)
+        return raster_ops.raster_result(self._grid_field(source_id, spec), spec, now=self.clock())
+
     def _grid_field(self, source_id: str, spec: raster_ops.GridSpec) -> Field:
         return self.field(source_id, [(spec.date_time or self.clock()).month])

@@ -56,3 +56,14 @@ def test_display(spark):
     assert spark.range(1).select(display.depth_label(F.lit(12.5))).first()[0] == "12.5 m"
     cell = spark.range(1).select(display.raster_cell(F.lit(-4.0), F.lit(1e9), 500.0, 300.0, 60, 40)).first()[0]
     assert tuple(cell) == (39, 0)
+
+
+def test_texts_of_any_kind_and_strict_numbers(spark):
+    from seagrid.functions.display import format_any, parse_double, parse_int
+
+    row = spark.sql("SELECT 1D AS a, 0.1234567D AS b, CAST(2.5 AS FLOAT) AS c, 7 AS d, 'x' AS e, CAST(NULL AS DOUBLE) AS f, true AS g")
+    assert list(row.select(*(format_any(F.col(c)).alias(c) for c in "abcdefg")).first()) == ["1", "0.12346", "2.5", "7", "x", "NoData", "True"]
+    texts = [" 1.5 ", "1d", "2.5f", "0x1p3", "1e3", ".5", "5.", "", None, "-7", "+7", "1 2", "NaN", "2147483648"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(parse_double(F.col("t")), parse_int(F.col("t"))).collect()
+    assert [None if r[0] is None else str(r[0]) for r in got] == ["1.5", None, None, None, "1000.0", "0.5", "5.0", None, None, "-7.0", "7.0", None, "nan", "2147483648.0"]
+    assert [r[1] for r in got] == [None] * 9 + [-7, 7, None, None, None]

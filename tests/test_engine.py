@@ -199,3 +199,45 @@ def test_stream(spark, files, tmp_path, engine):
     assert values(spark.table("nearest")) == [7.0, 1.0]
     with pytest.raises(ValueError):
         stream_points(points(spark, (1.0, 1.0)), engine.field("A"), CLOCK)
+
+
+def test_monthly_files_of_different_layouts(spark, tmp_path, engine):
+    import nc
+
+    lat, lon = np.arange(3.0), np.arange(4.0)
+    for month, scale, shift in ((1, 1.0, 0.0), (3, 1.0, 0.0), (8, 10.0, 1.0)):
+        z = np.arange(12, dtype="f4").reshape(3, 4)
+        variables = {"lat": (["lat"], lat + shift, {}), "lon": (["lon"], lon, {}), "z": (["lat", "lon"], z, {"scale_factor": scale})}
+        nc.write(str(tmp_path / f"s{month:02d}.nc"), {"lat": 3, "lon": 4}, variables)
+    engine.clock = lambda: datetime(2024, 1, 15)
+    option = SourceOption(id="M", type="Salinity", path=str(tmp_path), variable="z", file_pattern="s{MM}.nc", metadata={"requestedBounds": "x"})
+    assert engine.load_source(option).status == "Ready"
+    asked = [(1, 2.0, 1.0, None, None, "Nearest"), (2, 2.0, 1.0, None, datetime(2024, 8, 1), "Nearest"), (3, 2.0, 1.0, None, datetime(2024, 3, 1), "Nearest")]
+    rows = {r.query_id: r for r in engine.query_points("m", spark.createDataFrame(asked, POINT_QUERY)).collect()}
+    assert [rows[i].value for i in (1, 2, 3)] == [9.0, 50.0, 9.0]
+    assert rows[2].metadata["file"] == str(tmp_path / "s08.nc")
+    spec = GridSpec(0.0, 2.0, 0.0, 3.0, width=4, height=3, date_time=datetime(2024, 8, 1))
+    result = engine.query_grid_result("M", spec).first()
+    assert result.metadata["file"] == str(tmp_path / "s08.nc") and "requestedBounds" not in result.metadata
+    assert result.latitudes == [2.0, 1.0, 1.0] and result.longitudes == [0.0, 1.0, 2.0, 3.0]
+    assert result["values"] == [40.0, 50.0, 60.0, 70.0, *[0.0, 10.0, 20.0, 30.0] * 2] and (result.minimum, result.maximum) == (0.0, 70.0)
+    with pytest.raises(FileNotFoundError):
+        engine.query_points("m", spark.createDataFrame([(1, 2.0, 1.0, None, datetime(2024, 2, 1), "Nearest")], POINT_QUERY))
+
+
+def test_filters_reach_the_source(spark, tmp_path):
+    import nc
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThanOrEqual
+
+    from seagrid.sources.netcdf import GridReader, read_cells
+
+    z = np.arange(60, dtype="f4").reshape(2, 5, 6)
+    variables = {"depth": (["depth"], np.arange(2.0), {}), "lat": (["lat"], np.arange(5.0), {}), "lon": (["lon"], np.arange(6.0), {}), "z": (["depth", "lat", "lon"], z, {})}
+    path = str(tmp_path / "z.nc")
+    nc.write(path, {"depth": 2, "lat": 5, "lon": 6}, variables)
+    reader = GridReader({"path": path, "variable": "z", "depth": "depth"})
+    assert list(reader.pushFilters([EqualTo(("depth_i",), 1), GreaterThanOrEqual(("lat_i",), 2), LessThanOrEqual(("lat_i",), 3), In(("lon_block",), (0, 7))])) == []
+    (slab,) = reader.partitions()
+    assert (slab.depth_i, slab.lats, slab.blocks) == (1, [2, 3], [0])
+    rows = read_cells(spark, path, "z", depth="depth").filter("depth_i = 1 AND lat_i BETWEEN 2 AND 3").orderBy("lat_i").collect()
+    assert [r["values"] for r in rows] == [z[1, 2].tolist(), z[1, 3].tolist()]
