@@ -88,8 +88,9 @@ def bitmap_of(hashes: DataFrame, column: str, bits: int) -> bytes:
     place = F.col(column).bitwiseAND(F.lit(bits - 1)) + 1
     chunks = hashes.groupBy(F.bitmap_bucket_number(place).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     bitmap = bytearray(max(1 << 12, bits // 8))
-    for r in chunks.toLocalIterator():
-        bitmap[(r["chunk"] - 1) * 4096 : r["chunk"] * 4096] = r["bits"]
+    rows = chunks.toArrow()  # one job; as many rows as the map has chunks, at most
+    for chunk, part in zip(rows.column("chunk").to_pylist(), rows.column("bits")):
+        bitmap[(chunk - 1) * 4096 : chunk * 4096] = part.as_buffer()
     return bytes(bitmap)
 
 

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seagrid.llm.common import materialize, scratch_scope, short_batches, slices, table
+from seagrid.llm.common import bitmap_of, materialize, scratch_scope, short_batches, slices, table
 from seagrid.llm.components import components
 from seagrid.llm.wordkernel import distinct, find_words, hash_words, mix
 
@@ -360,12 +360,7 @@ def _jaccard_components(docs: DataFrame, words: int, num: int, den: int, id_col:
     source = marked.filter(F.col("first").isNull() | (F.col("doc_id") == F.col("first")))
     population = max(1, docs.count())
     counted = source.select("text").mapInArrow(_signatures(words, num, den, population), "signature long").groupBy("signature").count().filter("count > 1")
-    place = F.col("signature").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
-    chunks = counted.groupBy(F.bitmap_bucket_number(place).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    bitmap = bytearray(FILTER_BITS // 8)  # of fixed size, whatever the corpus
-    for r in chunks.toLocalIterator():
-        bitmap[(r["chunk"] - 1) * 4096 : r["chunk"] * 4096] = r["bits"]
-    bits = spark.sparkContext.broadcast(bytes(bitmap))
+    bits = spark.sparkContext.broadcast(bitmap_of(counted, "signature", FILTER_BITS))
     signed = source.select("doc_id", "text_key", "text").mapInArrow(_signed(words, num, den, population, bits), "doc_id long, text_key binary, n_shingles long, key binary, map binary, signatures array<long>")
     signed = materialize(signed, "signed")
     bits.destroy()

@@ -561,8 +561,10 @@ def _repeated_lines(placed: DataFrame, text_col: str, num: int, den: int) -> Dat
     sums = texts.select("text").mapInArrow(_count_words, "chunk int, places binary, counts binary").repartition(tasks, "chunk").sortWithinPartitions("chunk").mapInArrow(_sum_words, "chunk int, levels binary")
     levels = bytearray((1 << BUCKET_BITS) // 2)
     step = (1 << CHUNK_BITS) // 2
-    for row in sums.toLocalIterator():  # of fixed size, whatever the corpus
-        levels[row["chunk"] * step : (row["chunk"] + 1) * step] = row["levels"]
+    rows = sums.toArrow()  # of fixed size, whatever the corpus
+    for chunk, part in zip(rows.column("chunk").to_pylist(), rows.column("levels")):
+        levels[chunk * step : (chunk + 1) * step] = part.as_buffer()
+    del rows
     sent = spark.sparkContext.broadcast(bytes(levels))
     del levels
     lines = materialize(texts.mapInArrow(_sign_lines(num, den, sent), _LINES), "lines")
