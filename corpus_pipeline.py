@@ -8,6 +8,12 @@
 
 A text that loses all its lines or bytes stays as an empty document. Null texts are
 scored like empty ones. Rows with a null id are never dropped as near duplicates.
+Of rows that tie in a group of similar documents the smallest id stays; rows that repeat
+id and text are one document and share its fate. Texts are taken whole, however long.
+An empty table passes through all stages as an empty one. Further columns may have any
+name but ``__rest``; they are carried in one struct.
+
+This module needs ``seagrid.llm``; without it, it can't be imported.
 """
 
 from __future__ import annotations
