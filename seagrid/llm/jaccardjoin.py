@@ -22,7 +22,7 @@ Sets that share a signature are candidates, and nothing else is compared:
    components is compared: in blocks of bounded size, so that no group is
    gathered whole, and in rows that hold both blocks.
 
-Every class has a map of about one bit a shingle. Two maps can't differ in more
+Every class has a map of ``MAP_BITS`` bits a shingle. Two maps can't differ in more
 places than their sets do, so pairs whose maps differ too much are left out; what
 passes is verified on 64-bit hashes of whole shingles. Links inside a component
 that is already connected are not needed and not listed.
@@ -55,6 +55,7 @@ BLOCK_SHINGLES = 256 * 1024
 FILTER_BITS = 1 << 27
 #: Tables of up to so many rows of at most 64 bytes are broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
+MAP_BITS = 16
 #: Classes of a signature are parted into about so many before they are put into blocks.
 PART_CLASSES = 1024
 #: A band and its neighbour are taken to hold this share of all sets.
@@ -187,8 +188,12 @@ def _key(shingles: np.ndarray) -> bytes:
 
 
 def set_map(shingles: np.ndarray) -> bytes:
-    """A bit for each shingle's place among 64 bits, or the next power of two."""
-    size = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    """A bit for each shingle's place among ``MAP_BITS`` places a shingle, or the next power of two.
+
+    With few bits a shingle many differences would fall together, and sets well below
+    the threshold would pass: as many as the square of a group's size.
+    """
+    size = max(64, 1 << max(0, MAP_BITS * len(shingles) - 1).bit_length())
     bits = np.zeros(size, np.uint8)
     bits[((shingles >> np.uint64(24)) & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
