@@ -99,14 +99,18 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows in an Arrow batch, as texts are long: a batch stands in the JVM and in Python at once.
+def short_batches(spark: SparkSession, rows: int = 1000, size: int = 1 << 20) -> None:
+    """Fewer rows and bytes in an Arrow batch, as texts are long: a batch stands in the JVM and in Python at once.
 
-    Holds for the session from now on, as results are computed later; a smaller setting stays.
+    A batch ends after the row that reaches ``size`` bytes. Holds for the session from
+    now on, as results are computed later; smaller settings stay.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= size:
+        spark.conf.set(name, str(size))
 
 
 def release_memory() -> None:
