@@ -4,7 +4,9 @@ import numpy as np
 import zlib
 
 from conftest import EDGE_TEXTS, frame
-from seagrid.llm.knnquality import NEIGHBOURS, SHARPNESS, fit, op5_nearest_neighbour_quality, score_documents, term_counts
+from pyspark.sql import functions as F
+
+from seagrid.llm.knnquality import NEIGHBOURS, SHARPNESS, SMOOTHING, fit, op5_nearest_neighbour_quality, score_documents, term_counts
 
 
 def test_held_out_accuracy(spark):
@@ -37,6 +39,37 @@ def test_quality_edge_cases(spark, documents):
     assert [r.text for r in score_documents(docs, fit(docs, labels), keep=["text"]).filter("text IS NULL").collect()] == [None]
 
 
+def test_votes_against_brute_force(spark, documents):
+    """One text at a time: trigrams counted in a dictionary, all cosines in double precision, the nearest by sorting."""
+    docs = documents.union(documents.sparkSession.createDataFrame([(-1, None), (-2, "ab"), (-3, "one one one two")], "doc_id long, text string").select(*(F.col(c) if c in ("doc_id", "text") else F.lit(None).cast(t).alias(c) for c, t in documents.dtypes)))
+    space = fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    vectors, directions, weight = (x.astype(np.float64) for x in (space.vectors, space.directions, space.weight))
+    k, clear = min(NEIGHBOURS, len(space.labels)), 0
+    assert k > 1
+    rows = score_documents(docs, space, keep=["doc_id", "text"]).collect()
+    assert len(rows) == docs.count()
+    for row in rows:
+        raw = (row.text or "").encode()
+        counts = np.zeros(len(weight))
+        for i in range(len(raw) - 2):
+            counts[(int.from_bytes(raw[i : i + 3], "little") * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+        words = raw.split()
+        if len(words) > 1:
+            counts[-1] = 100 * sum(a == b for a, b in zip(words, words[1:])) / (len(words) + SMOOTHING)
+        at = (np.log1p(counts) * weight) @ directions
+        cosines = vectors @ at / max(np.linalg.norm(at), 1e-12)
+        order = np.argsort(-cosines)
+        if not raw or len(raw) < 3:
+            assert abs(row.score - space.prior) < 1e-6
+            continue
+        if k < len(order) and cosines[order[k - 1]] - cosines[order[k]] < 1e-5:
+            continue  # which of two equally near ones votes is open
+        votes = np.maximum(cosines[order[:k]], 0) ** SHARPNESS
+        assert abs(row.score - (votes * space.labels[order[:k]]).sum() / votes.sum()) < 1e-3
+        clear += 1
+    assert clear >= len(rows) // 2
+
+
 def test_pipeline(spark, documents):
     import corpus_pipeline
 
